@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from kinweave.llm import line_cleaning, line_dedup
+from kinweave.llm import decontamination, line_cleaning, line_dedup
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1,
     "op4_line_dedup": line_dedup.op4,
     "op8_line_cleaning": line_cleaning.op8,
 }
 
 ORACLES = {
+    "op1_decontamination": decontamination.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op8_line_cleaning": line_cleaning.oracle(),
 }
