@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinweave.llm import decontamination, line_cleaning, line_dedup
+from kinweave.llm import decontamination, line_cleaning, line_dedup, minhash_forest
 
 QUERIES = {
+    "op10_minhash_forest": minhash_forest.op10,
     "op1_decontamination": decontamination.op1,
     "op4_line_dedup": line_dedup.op4,
     "op8_line_cleaning": line_cleaning.op8,
