@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kinweave.llm import decontamination, line_cleaning, line_dedup, minhash_forest
+from kinweave.llm import bpe, decontamination, line_cleaning, line_dedup, minhash_forest, url_filters
 
 QUERIES = {
+    "op3_url_filters": url_filters.op3,
+    "op5_bpe": bpe.op5,
     "op10_minhash_forest": minhash_forest.op10,
     "op1_decontamination": decontamination.op1,
     "op4_line_dedup": line_dedup.op4,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_url_filters": url_filters.ORACLE,
     "op1_decontamination": decontamination.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op8_line_cleaning": line_cleaning.oracle(),
