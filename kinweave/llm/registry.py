@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontamination, line_cleaning, line_dedup, minhash_forest, url_filters
+from kinweave.llm import bpe, decontamination, line_cleaning, line_dedup, minhash_forest, token_files, url_filters
 
 QUERIES = {
+    "op6_token_files": token_files.op6,
     "op3_url_filters": url_filters.op3,
     "op5_bpe": bpe.op5,
     "op10_minhash_forest": minhash_forest.op10,
