@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontamination, line_cleaning, line_dedup, minhash_forest, token_files, url_filters
+from kinweave.llm import bpe, decontamination, importance, line_cleaning, line_dedup, minhash_forest, token_files, toxicity, url_filters
 
 QUERIES = {
+    "op7_importance": importance.op7,
+    "op9_toxicity": toxicity.op9,
     "op6_token_files": token_files.op6,
     "op3_url_filters": url_filters.op3,
     "op5_bpe": bpe.op5,
