@@ -1,7 +1,62 @@
-"""Corpus pipeline: stages over ``documents``."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, BPE, over ``documents``.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
+return the columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.llm import bpe, decontamination, line_cleaning, line_dedup, minhash_forest
+from kinweave.session import materialize, table
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the rules reject go; failed lines of the others go."""
+    return _recounted(line_cleaning.clean_lines(docs))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in several documents stay in the first only."""
+    return _recounted(line_dedup.dedup_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays (five words, similarity 0.8)."""
+    return minhash_forest.drop_near_duplicates(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, digests and ids of every document left."""
+    return bpe.encode_texts(docs).drop("decoded")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", repeated_lines),
+    ("near-dedup", near_duplicates),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
+
+#: The near-dedup and BPE stages are beyond SQL; a brute-force version stands in the tests.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each but the last written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
