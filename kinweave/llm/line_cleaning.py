@@ -158,11 +158,12 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def clean_lines(docs: DataFrame, text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """The kept documents without their failed lines; the columns of the input, the text cleaned."""
-    kept = _figures(docs, text_col, rules).filter("__q_kept")
-    text = F.expr("array_join(transform(filter(arrays_zip(__q_lines, __q_bad), z -> not z.__q_bad), z -> z.__q_lines), '\\n')")
-    return kept.withColumn("__q_text", F.when(F.expr("exists(__q_bad, b -> b)"), text).otherwise(F.col(text_col))).select(
-        *[F.col("__q_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    )
+    judged = _figures(docs, text_col, rules)
+    text = F.expr("array_join(transform(filter(arrays_zip(__q_lines, __q_bad), z -> not z.__q_bad), z -> z.__q_lines), '\n')")
+    judged = judged.withColumn("__q_text", F.when(F.expr("exists(__q_bad, b -> b)"), text).otherwise(F.col(text_col)))
+    # a generator, not a filter: a filter would be pushed below the arrays, which would then be built over and over
+    kept = judged.select("*", F.explode(F.expr("if(__q_kept, array(struct(__q_text as t)), array())")).alias("__q_one"))
+    return kept.select(*[F.col("__q_one.t").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op8(spark, sf_dir):
