@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontamination, importance, line_cleaning, line_dedup, minhash_forest, token_files, toxicity, url_filters
+from kinweave.llm import bpe, decontamination, importance, line_cleaning, line_dedup, minhash_forest, suffix_dedup, token_files, toxicity, url_filters
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2,
     "op7_importance": importance.op7,
     "op9_toxicity": toxicity.op9,
     "op6_token_files": token_files.op6,
