@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -48,9 +49,14 @@ CACHE_WORDS = 300_000
 _EVERY = 512
 #: The split pattern of byte-level vocabularies, and white space besides the plain space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What the split of joined chunks cannot hold: blanks inside a chunk.
+_BREAKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  　"
 
 
+_ODD = f"^ *$|[{_BREAKS}]"
+
+
 class WaveletMatrix:
     """Rank and select structure over a sequence of ids, and its bytes."""
 
@@ -201,12 +207,8 @@ class ByteBpe:
         self.pattern = regex.compile(PATTERN)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
         self.cache_words = cache_words
 
-    def _bytes(self, ids) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
-
     def whole(self, text: str) -> bool:
         """Whether a text must not be cut at its spaces: blanks meet there, or a special token stands in it."""
         if "  " in text or any(s in text for s in self.special):
@@ -215,20 +217,58 @@ class ByteBpe:
             not text.isascii() and regex.search(r" [  -   ]|[  -   ] ", text) is not None
         )
 
-    def _chunks(self, entries: list[str]) -> list[bytes]:
-        known = self.chunks
-        new = {c: self.pattern.findall(c) for c in entries if c not in known}
-        missing = list({w: None for ws in new.values() for w in ws if w not in self.words})
-        fresh = {}
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            fresh[w] = self._bytes(e.ids)
-        made = {c: b"".join([fresh[w] if w in fresh else self.words[w] for w in ws]) for c, ws in new.items()}
-        out = [made[c] if c in made else known[c] for c in entries]
-        for cache, more in ((self.words, fresh), (self.chunks, made)):
-            if len(cache) + len(more) > self.cache_words:
-                cache.clear()
-            cache.update((k, v) for k, v in more.items() if len(k) <= 64)
-        return out
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; those the cache lacks go to the library together."""
+        known = self.words
+        missing = [w for w in words if w not in known]
+        if missing:
+            if len(known) + len(missing) > self.cache_words:
+                # what this block uses stays, and with it what every block uses
+                known = {w: known[w] for w in words if w in known}
+            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+            lengths = [len(e.ids) for e in encoded]
+            flat = np.array([i for e in encoded for i in e.ids], dtype=f"<u{self.width}").tobytes()
+            at = 0
+            for w, n in zip(missing, lengths, strict=True):
+                known[w] = flat[at : at + n * self.width]
+                at += n * self.width
+            out = [known[w] for w in words]
+            if len(known) > self.cache_words:
+                known = {}
+            self.words = known
+            return out
+        return [known[w] for w in words]
+
+    def _chunks(self, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in one array, and the n + 1 offsets.
+
+        The chunks are split into words by one pass over all of them, a line each; a line break is
+        a word of its own there. Those that hold a blank themselves are split one by one.
+        """
+        odd = pc.match_substring_regex(pa.array(entries, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~odd).tolist()
+        words = self.pattern.findall("\n".join([entries[i] for i in plain]))
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        breaks = codes == distinct.index("\n") if len(plain) > 1 else np.zeros(len(codes), bool)
+        owner = np.array(plain, dtype=np.int64)[np.cumsum(breaks)[~breaks]] if plain else np.zeros(0, np.int64)
+        codes = codes[~breaks]
+        place = {w: k for k, w in enumerate(distinct)}
+        extra_owner, extra = [], []
+        for i in np.flatnonzero(odd).tolist():
+            for w in self.pattern.findall(entries[i]):
+                if w not in place:
+                    place[w] = len(distinct)
+                    distinct.append(w)
+                extra_owner.append(i)
+                extra.append(place[w])
+        if extra:
+            owner, codes = np.concatenate([owner, extra_owner]), np.concatenate([codes, extra])
+            order = np.argsort(owner, kind="stable")
+            owner, codes = owner[order], codes[order]
+        used = np.unique(codes)
+        parts = self._words([distinct[k] for k in used.tolist()])
+        return gather(np.searchsorted(used, codes), np.searchsorted(owner, np.arange(len(entries) + 1)), parts, self.width)
 
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the n + 1 offsets; every id comes from the library."""
@@ -241,8 +281,11 @@ class ByteBpe:
         n = len(entries)
         codes = codes + np.where(first, 0, n)
         used = np.unique(codes)
-        parts = self._chunks([entries[c] if c < n else " " + entries[c - n] for c in used.tolist()])
-        ids, ends = gather(np.searchsorted(used, codes), offsets, parts, self.width)
+        flat, at = self._chunks([entries[c] if c < n else " " + entries[c - n] for c in used.tolist()])
+        codes = np.searchsorted(used, codes)
+        size = np.diff(at)[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids, ends = flat[np.arange(ends[-1]) + np.repeat(at[codes] - ends[:-1], size)], ends[offsets]
         if odd:
             each = np.split(ids, ends[1:-1])
             for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
