@@ -43,3 +43,105 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     root = materialize(root)
     least = root.groupBy("root").agg(F.min("node").alias("component"))
     return root.join(least, "root").select("node", "component")
+
+
+def bfs_distance(edges: DataFrame, start: DataFrame, max_hops: int = 1000) -> DataFrame:
+    """(node, distance) of every node reachable from ``start`` (column node) over ``edges`` (src, dst).
+
+    A frontier per round, without the nodes seen before; cycles end by themselves.
+    """
+    e = edges.select("src", "dst")
+    seen = materialize(start.select("node").distinct().withColumn("distance", F.lit(0)))
+    frontier = seen
+    for hop in range(1, max_hops + 1):
+        reached = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = materialize(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def closure(parents: DataFrame, start: DataFrame, max_generations: int = 1000) -> DataFrame:
+    """(start, node, generation): ancestors of each start node over ``parents`` (child, parent), by the shortest way."""
+    seen = materialize(start.select(F.col("node").alias("start"), "node").distinct().withColumn("generation", F.lit(0)))
+    frontier = seen
+    for g in range(1, max_generations + 1):
+        up = frontier.join(parents.select(F.col("child").alias("node"), "parent"), "node").select("start", F.col("parent").alias("node")).distinct()
+        frontier = materialize(up.join(seen, ["start", "node"], "left_anti").withColumn("generation", F.lit(g)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def ahnentafel(parents: DataFrame, root, max_generations: int = 60) -> DataFrame:
+    """(number, node, generation, repeat_of): 2n is the father of n, 2n + 1 the mother.
+
+    A person met again keeps the number but is not expanded; ``repeat_of`` names the first.
+    ``parents``: child, parent, role (father or mother). Numbers are 64-bit, enough for 62 generations.
+    """
+    spark = parents.sparkSession
+    level = spark.createDataFrame([(1, root, 0)], f"number long, node {parents.schema['child'].dataType.simpleString()}, generation int")
+    level = materialize(level.withColumn("repeat_of", F.lit(None).cast("long")))
+    out = level
+    for g in range(1, min(max_generations, 62) + 1):
+        up = level.filter("repeat_of is null").join(parents.select(F.col("child").alias("node"), "parent", "role"), "node")
+        found = up.select((F.col("number") * 2 + F.when(F.col("role") == "mother", 1).otherwise(0)).alias("number"), F.col("parent").alias("node"))
+        first_here = found.groupBy("node").agg(F.min("number").alias("__here"))
+        before = out.filter("repeat_of is null").select("node", F.col("number").alias("__before"))
+        marked = found.join(first_here, "node").join(before, "node", "left")
+        repeat = F.coalesce("__before", F.when(F.col("number") > F.col("__here"), F.col("__here")))
+        level = materialize(marked.select("number", "node", F.lit(g).alias("generation"), repeat.alias("repeat_of")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
+def shortest_path(edges: DataFrame, source, target, max_hops: int = 1000) -> list:
+    """Nodes of a shortest path, ties by smallest node; an empty list if there is none."""
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
+    if source == target:
+        return [source]
+    level = materialize(spark.createDataFrame([(source, None)], f"node {kind}, via {kind}"))
+    levels = [level]
+    seen = level.select("node")
+    for _ in range(max_hops):
+        step = level.join(edges.select("src", "dst"), F.col("node") == F.col("src")).groupBy("dst").agg(F.min("node").alias("via"))
+        level = materialize(step.select(F.col("dst").alias("node"), "via").join(seen, "node", "left_anti"))
+        if level.isEmpty():
+            return []
+        levels.append(level)
+        if not level.filter(F.col("node") == target).isEmpty():
+            break
+        seen = seen.union(level.select("node"))
+    path, at = [], target
+    for level in reversed(levels):  # one row looked up for each hop
+        path.append(at)
+        at = level.filter(F.col("node") == at).first().via
+    return path[::-1]
+
+
+def cycle_members(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node) on a directed cycle or between two: nodes without a way in or out are peeled off round by round."""
+    e = materialize(edges.select("src", "dst").distinct())
+    count = e.count()
+    for _ in range(max_rounds):
+        e = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        left = e.count()
+        if left == count:
+            break
+        count = left
+    return e.select(F.col("src").alias("node")).distinct()
+
+
+def islands(edges: DataFrame, nodes: DataFrame, largest: int = 9) -> DataFrame:
+    """(node, component, size) of components of 2 to ``largest`` nodes that are smaller than the largest one."""
+    part = connected_components(edges)
+    part = nodes.select("node").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    size = materialize(part.groupBy("component").agg(F.count("*").alias("size")))
+    most = size.agg(F.max("size").alias("most"))
+    small = size.crossJoin(F.broadcast(most)).filter(f"size between 2 and {largest} and size < most").drop("most")
+    return part.join(small, "component").select("node", "component", "size")
