@@ -119,7 +119,8 @@ class WaveletMatrix:
 
     def count(self, value: int, begin: int = 0, end: int | None = None) -> int:
         """How often an id stands in a range of places."""
-        a, b = self._range(value, begin, self.n if end is None else end)
+        end = self.n if end is None else min(end, self.n)
+        a, b = self._range(value, min(max(begin, 0), end), end)
         return b - a
 
     def place(self, value: int, k: int) -> int:

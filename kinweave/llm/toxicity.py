@@ -46,6 +46,8 @@ SMOOTH = 0.5
 LEAST_WEIGHT = 1.0
 BEGINNINGS = (4, 5, 6, 7)
 CACHE = 200_000
+#: Evidence counts up to so many standard deviations.
+REACH = 6.0
 
 #: Letters of the model; others share one class, anything else is the boundary (0).
 ALPHABET = "\x00abcdefghijklmnopqrstuvwxyzßàáâäãçèéêëìíîïñòóôöõùúûüœ\x01"
@@ -239,13 +241,14 @@ class ToxicModel:
     def scores(self, evidence: list[list[float]]) -> np.ndarray:
         if self.logistic is None:
             return np.zeros(len(evidence))
-        z = (np.array(evidence) - self.centre) / self.spread
+        # figures far outside those of the training rows say no more than the outermost ones
+        z = np.clip((np.array(evidence) - self.centre) / self.spread, -REACH, REACH)
         return 1 / (1 + np.exp(-np.clip(z @ self.logistic[:-1] + self.logistic[-1], -40, 40)))
 
     def fit(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
         """Newton's method with a small ridge."""
-        self.centre, self.spread = evidence.mean(axis=0), evidence.std(axis=0) + 1e-9
-        z = np.c_[(evidence - self.centre) / self.spread, np.ones(len(evidence))]
+        self.centre, self.spread = evidence.mean(axis=0), np.maximum(evidence.std(axis=0), 1e-3)
+        z = np.c_[np.clip((evidence - self.centre) / self.spread, -REACH, REACH), np.ones(len(evidence))]
         w = np.zeros(z.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
