@@ -48,6 +48,8 @@ BEGINNINGS = (4, 5, 6, 7)
 CACHE = 200_000
 #: Evidence counts up to so many standard deviations.
 REACH = 6.0
+#: A toxic training row counts as so many: a missed one costs more than a false alarm.
+TOXIC_TIMES = 2.0
 
 #: Letters of the model; others share one class, anything else is the boundary (0).
 ALPHABET = "\x00abcdefghijklmnopqrstuvwxyzßàáâäãçèéêëìíîïñòóôöõùúûüœ\x01"
@@ -249,11 +251,11 @@ class ToxicModel:
         """Newton's method with a small ridge."""
         self.centre, self.spread = evidence.mean(axis=0), np.maximum(evidence.std(axis=0), 1e-3)
         z = np.c_[np.clip((evidence - self.centre) / self.spread, -REACH, REACH), np.ones(len(evidence))]
-        w = np.zeros(z.shape[1])
+        w, times = np.zeros(z.shape[1]), np.where(toxic > 0, TOXIC_TIMES, 1.0)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-            slope = z.T @ (p - toxic) + 0.1 * w
-            w -= np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(len(w)), slope)
+            slope = z.T @ (times * (p - toxic)) + 0.1 * w
+            w -= np.linalg.solve((z * (times * p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(len(w)), slope)
         self.logistic = w
 
     def __getstate__(self):
