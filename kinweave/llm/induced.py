@@ -1,8 +1,8 @@
 """External induced sorting of suffixes with common-prefix values.
 
-The suffixes of a string are sorted by induction: those at local minima (the
-last of a falling run) are sorted first, by recursion on the string of their names, and every other
-suffix is induced from its successor in two scans, upwards for falling and downwards for rising
+The suffixes of a string are sorted by induction: the pieces between local
+minima (the last of a falling run) are sorted and named, the suffixes at minima are sorted by
+recursion on the string of names, and every other suffix is induced from its successor in two scans, upwards for falling and downwards for rising
 suffixes. Tuples (place, common prefix with the tuple before it) travel through priority queues
 keyed by first character; within a character they arrive in order, so a queue is a list of runs per
 character, which go to disk when the queues outgrow ``memory``. A tuple's common-prefix value is one
@@ -285,11 +285,14 @@ def _doubling(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         step *= 2
     prefix = np.zeros(n, dtype=np.int64)
     a, b = order[:-1], order[1:]
+    # most neighbours differ in their first name
+    alike = np.flatnonzero(levels[0][a] == levels[0][b])
+    x, y = a[alike], b[alike]
     for k in range(len(levels) - 1, -1, -1):
-        level, x, y = levels[k], a + prefix[1:], b + prefix[1:]
-        inside = (x < n) & (y < n)
-        eq = inside & (level[np.minimum(x, n - 1)] == level[np.minimum(y, n - 1)])
-        prefix[1:][eq] += 1 << k
+        level = levels[k]
+        eq = (x < n) & (y < n) & (level[np.minimum(x, n - 1)] == level[np.minimum(y, n - 1)])
+        x, y = x + (eq.astype(np.int64) << k), y + (eq.astype(np.int64) << k)
+    prefix[alike + 1] = x - a[alike]
     # a suffix that ends inside a comparison shares no more than its length
     if n > 1:
         prefix[1:] = np.minimum(prefix[1:], n - np.maximum(a, b))
@@ -307,6 +310,58 @@ def _sorted_names(names: np.ndarray, cap: int, work: str, memory: int, base: int
     return p[1:], np.concatenate([[0], q[1:-1]]).astype(np.int64)[: len(p) - 1]
 
 
+def _names(text: np.ndarray, lms: np.ndarray, size: np.ndarray, sigma: int) -> np.ndarray:
+    """Ranks of the pieces between minima, equal pieces alike.
+
+    A few characters at a time make one number; only pieces that are still equal are read on. Where
+    one piece is the beginning of another it ends on a rise and the other goes on falling, so the
+    longer one comes first: what lies behind a piece's end counts as the largest character.
+    """
+    bits = (sigma + 1).bit_length()
+    width, pad = max(1, 62 // bits), (1 << bits) - 1
+    n = len(lms)
+
+    def key(which: np.ndarray, depth: int) -> np.ndarray:
+        out = np.zeros(len(which), dtype=np.int64)
+        at, left = lms[which].astype(np.int64) + depth, size[which] - depth
+        for j in range(width):
+            c = text[np.minimum(at + j, len(text) - 1)].astype(np.int64)
+            out = out << bits | np.where(j < left, c, pad)
+        return out
+
+    every = np.arange(n)
+    keys = key(every, 0)
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    same = np.zeros(n, dtype=bool)
+    same[1:] = ordered[1:] == ordered[:-1]
+    depth = width
+    live = np.flatnonzero(same)
+    while len(live):
+        # groups of equals of which a piece goes on; one that ended with the last number comes after
+        group = np.zeros(n, dtype=bool)
+        group[live] = group[live - 1] = True
+        at = np.flatnonzero(group)
+        first = np.flatnonzero(~same[at])
+        on = np.logical_or.reduceat(size[order[at]] > depth, first)
+        at = at[np.repeat(on, np.diff(np.append(first, len(at))))]
+        if not len(at):
+            break
+        start = np.maximum.accumulate(np.where(same[at], -1, at))
+        members = order[at]
+        keys = key(members, depth)
+        inner = np.lexsort((keys, start))
+        order[at] = members[inner]
+        keys, start = keys[inner], start[inner]
+        still = np.zeros(len(at), dtype=bool)
+        still[1:] = (start[1:] == start[:-1]) & (keys[1:] == keys[:-1])
+        same[at] = still
+        live, depth = at[still], depth + width
+    names = np.empty(n, dtype=np.int64)
+    names[order] = np.cumsum(~same) - 1
+    return names
+
+
 def sort_suffixes(text: np.ndarray, sigma: int, cap: int, work: str, memory: int, emit: Callable[[np.ndarray, np.ndarray], None], base: int = BASE) -> None:
     """Sort the suffixes of ``text`` (its last character 0, and only that one), in descending order.
 
@@ -317,32 +372,9 @@ def sort_suffixes(text: np.ndarray, sigma: int, cap: int, work: str, memory: int
     kind = np.int32 if s.n < 2**31 else np.int64
     lms = s.minima.astype(kind)
     os.makedirs(work, exist_ok=True)
-    # sort the pieces between minima by one induction from minima in the order of their first character
-    seeds = lms[np.argsort(text[lms], kind="stable")]
-    is_min = np.zeros(s.n, dtype=bool)
-    is_min[lms] = True
-    found: list[np.ndarray] = []
-    induce(s, seeds, np.zeros(len(seeds), np.uint16), sigma, cap, work, memory, lambda p, _: found.append(p[is_min[p]]))
-    ordered = np.concatenate(found)[::-1]
-    del found
-    # names of the pieces: equal pieces (up to and with the next minimum) get one name
-    number = np.zeros(s.n, dtype=kind)
-    number[lms] = np.arange(len(lms), dtype=kind)
-    follow = np.append(lms[1:], s.n - 1)
-    size = follow - lms + 1
-    index = number[ordered]
-    del number, is_min
-    a, b = index[:-1], index[1:]
-    equal = size[a] == size[b]
-    live, depth = np.flatnonzero(equal), 0
-    while len(live):
-        inside = depth < size[a[live]]
-        live = live[inside]
-        same = text[lms[a[live]] + depth] == text[lms[b[live]] + depth]
-        equal[live[~same]] = False
-        live, depth = live[same], depth + 1
-    names = np.empty(len(lms), dtype=np.int64)
-    names[index] = np.concatenate([[0], np.cumsum(~equal)]) if len(index) else index
+    # pieces run from a minimum to the next, both included
+    size = np.append(lms[1:], s.n - 1) - lms + 1
+    names = _names(text, lms, size, sigma)
     rank, shared = _sorted_names(names, cap, f"{work}/names", memory, base)
     # shared prefixes in characters: whole pieces, then the characters up to the first that differs
     prefix = np.zeros(len(lms), dtype=np.int64)
@@ -351,14 +383,23 @@ def sort_suffixes(text: np.ndarray, sigma: int, cap: int, work: str, memory: int
         px = lms[np.minimum(x + shared[1:], len(lms) - 1)].astype(np.int64)
         py = lms[np.minimum(y + shared[1:], len(lms) - 1)].astype(np.int64)
         length = px - lms[x]
+        bits = sigma.bit_length()
+        width = max(1, 52 // bits)
+
+        def packed(at: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(at), dtype=np.int64)
+            for j in range(width):
+                out = out << bits | text[np.minimum(at + j, s.n - 1)]
+            return out
+
         live = np.flatnonzero(length < cap)
+        u, v = px[live], py[live]
         while len(live):
-            u, v = px[live] + (length[live] - (px[live] - lms[x[live]])), py[live] + (length[live] - (px[live] - lms[x[live]]))
-            ok = (u < s.n) & (v < s.n)
-            same = ok.copy()
-            same[ok] = text[u[ok]] == text[v[ok]]
-            live = live[same]
-            length[live] += 1
-            live = live[length[live] < cap]
+            # characters above the highest bit that differs; the closing 0 stands at one place only
+            differ = packed(u) ^ packed(v)
+            equal = (width * bits - np.frexp(differ.astype(np.float64))[1]) // bits
+            length[live] += equal
+            on = (differ == 0) & (length[live] < cap)
+            live, u, v = live[on], u[on] + width, v[on] + width
         prefix[1:] = np.minimum(length, cap)
     induce(s, lms[rank], prefix.astype(np.uint16), sigma, cap, work, memory, emit)
