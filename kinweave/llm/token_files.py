@@ -24,6 +24,7 @@ are ignored; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -199,6 +200,8 @@ class ByteBpe:
     """The tokenizers library behind a bounded cache of distinct chunks and words."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        # a task has one core; the library's thread pool would only spin
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
