@@ -99,19 +99,19 @@ class _Minima:
         first[1:] = key[1:] != key[:-1]
         begin = np.zeros(len(key), dtype=np.int64)
         begin[~first] = where[np.flatnonzero(~first) - 1] + 1
-        table = [values]
-        while len(table[-1]) > 1 << (len(table) - 1):
-            w = 1 << (len(table) - 1)
-            table.append(np.minimum(table[-1][:-w], table[-1][w:]))
+        # minima over 1, 2, 4, ... sources from each place on, row by row
+        table = np.empty((max(1, n.bit_length()), n), dtype=np.uint16)
+        table[0] = values
+        for k in range(1, len(table)):
+            m, w = n - (1 << k) + 1, 1 << (k - 1)
+            np.minimum(table[k - 1, :m], table[k - 1, w : w + m], out=table[k, :m])
+        flat = table.ravel()
 
         def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """Minimum over a..b inclusive."""
-            level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-            out = np.empty(len(a), dtype=np.uint16)
-            for k in np.unique(level).tolist():
-                s = level == k
-                out[s] = np.minimum(table[k][a[s]], table[k][b[s] - (1 << k) + 1])
-            return out
+            level = np.frexp((b - a + 1).astype(np.float64))[1].astype(np.int64) - 1
+            row = level * n
+            return np.minimum(flat[row + a], flat[row + b + 1 - (1 << level)])
 
         got = least(begin, where) if len(where) else np.zeros(0, np.uint16)
         starts = np.flatnonzero(first)
@@ -375,7 +375,8 @@ def sort_suffixes(text: np.ndarray, sigma: int, cap: int, work: str, memory: int
     # pieces run from a minimum to the next, both included
     size = np.append(lms[1:], s.n - 1) - lms + 1
     names = _names(text, lms, size, sigma)
-    rank, shared = _sorted_names(names, cap, f"{work}/names", memory, base)
+    # minima are two characters apart at least, so half as many names as characters decide
+    rank, shared = _sorted_names(names, cap // 2 + 1, f"{work}/names", memory, base)
     # shared prefixes in characters: whole pieces, then the characters up to the first that differs
     prefix = np.zeros(len(lms), dtype=np.int64)
     if len(rank) > 1:
