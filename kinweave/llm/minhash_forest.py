@@ -13,8 +13,11 @@ Links are confirmed on full sets: first each set's best candidate, then every ca
 are still in different components, so a link that is left out could not change the result. Sets
 that are equal are one class from the start, so copies never meet each other as pairs.
 
-A pair at similarity 0.8 in regions of up to ``WINDOW`` rows is missed with probability
-(1 - 0.8 ** MIN_PREFIX) ** TREES = 6e-7; in larger regions further rows give further chances.
+What a window may have cut short, a region above ``WINDOW`` or one at the edge of a task, goes to an
+exact join on full sets (``_exact_links``) unless all of it is one component by then.
+
+A pair at similarity 0.8 shares no region with probability (1 - 0.8 ** MIN_PREFIX) ** TREES = 6e-7,
+whatever the size of its regions.
 
 Defined edge cases: null, empty and blank texts have no shingles and are linked with nothing; a text
 of fewer words than a shingle is one shingle; a row with a null id is its own group (component null,
@@ -40,6 +43,8 @@ WINDOW, NEAREST, HUBS = 16, 2, 2
 MIN_AGREE = 96
 #: Ids up to this many are sent to every executor when candidates' texts are fetched; beyond, a join.
 BROADCAST_IDS = 1_000_000
+#: Exact join: a shingle is joined if at most so many of its sets are outside its largest component; each round raises it.
+RARE, RAISE = 32, 4
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 2**64, HASHES, dtype=np.uint64)
@@ -127,11 +132,20 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
-    """Candidate pairs (a, b, agree) from the sorted orders, read as streams."""
+    """Candidate pairs (a, b, agree) from the sorted orders, read as streams; and rows (a, region) of
+    the regions that the window may cut short, large ones and those at the edges of a task."""
     prefix = 1 + 4 * MIN_PREFIX
+    schema = f"a {id_type}, b {id_type}, agree long, region binary"
+
+    def wide_rows(keys, ids, of_type):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids.tolist(), of_type), pa.nulls(n, of_type), pa.nulls(n, pa.int64()), pa.array(keys.tolist(), pa.binary())],
+            names=["a", "b", "agree", "region"],
+        )
 
     def run(batches):
-        old = None
+        old = opening = of_type = None
         for batch in batches:
             # a trailing byte keeps zero bytes at the end apart
             keys = np.array([k[:prefix] + b"\x01" for k in batch.column(0).to_pylist()])
@@ -148,6 +162,11 @@ def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
             sizes = np.diff(np.append(edge, n))
             region = np.repeat(np.arange(len(edge)), sizes)
             large = np.repeat(sizes > WINDOW + 1, sizes)
+            if old is None:
+                opening, of_type = keys[0], batch.column(1).type
+            cut = large | (keys == opening)
+            if cut.any():
+                yield wide_rows(keys[cut], ids[cut], of_type)
             found = []
             for o in range(1, min(WINDOW, n - 1) + 1):
                 j = np.arange(max(o, fresh), n)
@@ -181,12 +200,16 @@ def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
                 lo, hi = np.minimum(a, b), np.maximum(a, b)
                 seen = dict(zip(zip(lo.tolist(), hi.tolist(), strict=True), pairs[:, 2].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in seen], batch.column(1).type), pa.array([x for _, x in seen], batch.column(1).type), pa.array(list(seen.values()), pa.int64())],
-                    names=["a", "b", "agree"],
+                    [pa.array([x for x, _ in seen], batch.column(1).type), pa.array([x for _, x in seen], batch.column(1).type), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(seen), pa.binary())],
+                    names=["a", "b", "agree", "region"],
                 )
-            old = keys[-WINDOW:], ids[-WINDOW:], sketch[-WINDOW:]
+            # one row more than the window: a region that goes on is large here if it is large at all
+            old = keys[-WINDOW - 1 :], ids[-WINDOW - 1 :], sketch[-WINDOW - 1 :]
+        if old is not None:
+            last = old[0] == old[0][-1]
+            yield wide_rows(old[0][last], old[1][last], of_type)
 
-    return orders.mapInArrow(run, f"a {id_type}, b {id_type}, agree long").filter("a != b")
+    return orders.mapInArrow(run, schema).filter("b is null or a != b")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -220,6 +243,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * i >= {percent} * (s - i)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def _exact_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): links that join all components which any pair of ``sets`` (id, shingles) joins.
+
+    A shingle that one component holds alone links nothing new and is dropped. A rare one (at most
+    ``RARE`` of its sets outside its largest component) is joined, across components only.
+    Pairs without a common rare shingle have all they share among the hot ones, so sets go to the next
+    round with their hot shingles only, with a larger ``RARE``, and end where these are under ``percent``
+    of the set. Sets of equal hot shingles are then one class; its smallest set links with every one that
+    another of the class could be linked with by hot shingles.
+    """
+    rare = RARE
+    sets = materialize(sets)
+    classes = sets.select(F.col("id").alias("c"), F.col("shingles").alias("s"))
+    members = sets.select(F.col("id").alias("c"), "id", F.size("shingles").cast("long").alias("n"))
+    similar = f"100 * {{o}} >= {percent} * ({{a}} + {{b}} - {{o}})"
+    new = links.limit(0)
+    while not classes.isEmpty():
+        part = materialize(connected_components(links.unionByName(new)))
+        owner = F.xxhash64(F.coalesce("component", "id"))
+        info = materialize(
+            members.join(part, F.col("id") == F.col("node"), "left")
+            .groupBy("c")
+            .agg(F.min(F.struct("n", "id")).alias("r"), F.min(owner).alias("lo"), F.max(owner).alias("hi"))
+            # a class of several components is like no other
+            .select("c", "r.n", F.col("r.id").alias("rep"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64(F.lit("several"), "c")).alias("part"))
+        )
+        entries = materialize(classes.join(info, "c").select("c", "part", F.explode("s").alias("k")))
+        per_part = entries.groupBy("k", "part").agg(F.count("*").alias("x"))
+        spread = per_part.groupBy("k").agg(F.sum("x").alias("all"), F.max(F.struct("x", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+        spread = spread.select("k", F.col("top.part").alias("most"), (F.col("all") - F.col("top.x")).alias("outside"))
+        # the rarest first; links need ``percent`` of the larger set, so a common one is among the first of both
+        ordered = entries.join(spread, "k").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("outside", "k", "most"))).alias("s"))
+        ordered = materialize(ordered.join(info, "c").filter(f"100L * size(s) >= {percent} * n"))
+        hot = materialize(ordered.select("c", F.expr(f"array_sort(transform(filter(s, x -> x.outside > {rare}), x -> x.k))").alias("s")).filter("size(s) > 0"))
+        first = ordered.select("c", "part", "n", F.size("s").alias("z"), F.posexplode(F.expr(f"slice(s, 1, cast(size(s) - ({percent} * n + 99) div 100 + 1 as int))")).alias("at", "e"))
+        first = materialize(first.filter(f"e.outside <= {rare}").select("c", "part", "n", F.col("e.k").alias("k"), F.col("e.most").alias("most"), "at", (F.col("z") - F.col("at") - 1).alias("left")))
+        few = first.filter("part != most").select(*[F.col(x).alias(f"x_{x}") for x in ("c", "part", "n", "at", "left")], "k")
+        every = first.select(*[F.col(x).alias(f"y_{x}") for x in ("c", "part", "n", "at", "left")], "most", "k")
+        met = (
+            few.join(every, "k")
+            .filter("x_part != y_part and (y_part = most or x_c < y_c)")
+            # what they share is at most what stands before in both, this one, and what follows in both
+            .filter(similar.format(o="(least(x_at, y_at) + 1 + least(x_left, y_left))", a="x_n", b="y_n"))
+            .select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b"), F.least("x_left", "y_left").alias("left"))
+            .groupBy("a", "b")
+            .agg(F.count("*").alias("met"), F.min("left").alias("left"))
+        )
+        for end in ("a", "b"):
+            met = met.join(info.select(F.col("c").alias(end), *[F.col(x).alias(f"{end}_{x}") for x in ("n", "rep")]), end)
+        met = materialize(met.filter(similar.format(o="(met + left)", a="a_n", b="b_n")))
+        both = met
+        for end in ("a", "b"):
+            both = both.join(ordered.select(F.col("c").alias(end), F.col("s.k").alias(f"{end}_s")), end)
+        both = both.withColumn("o", F.size(F.array_intersect("a_s", "b_s")).cast("long")).drop("a_s", "b_s")
+        both = materialize(both.filter(similar.format(o="o", a="a_n", b="b_n")))
+        found = [
+            both.join(members.select(F.col("c").alias(x), "id", "n"), x)
+            .filter(similar.format(o="o", a="n", b=f"{y}_n"))
+            .select(F.col("id").alias("src"), F.col(f"{y}_rep").alias("dst"))
+            for x, y in (("a", "b"), ("b", "a"))
+        ]
+        # the next round: hot shingles only
+        merged = hot.groupBy("s").agg(F.min("c").alias("to"), F.collect_list("c").alias("cs"))
+        moved = merged.select("to", F.size("s").cast("long").alias("o"), F.explode("cs").alias("c"))
+        members = materialize(
+            members.join(moved, "c").filter(f"100 * o >= {percent} * n").select(F.col("to").alias("c"), "id", "n", "o")
+        )
+        reps = members.groupBy("c").agg(F.min(F.struct("n", "id")).alias("r"))
+        found.append(members.join(reps, "c").filter("id != r.id").filter(similar.format(o="o", a="n", b="r.n")).select(F.col("id").alias("src"), F.col("r.id").alias("dst")))
+        # between components one link is enough
+        for f in found:
+            for end in ("src", "dst"):
+                f = f.join(part.select(F.col("node").alias(end), F.col("component").alias("into")), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+            new = new.unionByName(f.filter("src != dst").select("src", "dst").distinct())
+        new = materialize(new)
+        classes = materialize(merged.select(F.col("to").alias("c"), "s").join(members.select("c").distinct(), "c"))
+        members = members.drop("o")
+        rare *= RAISE
+    return new
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable) and kept."""
     spark = docs.sparkSession
@@ -229,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.filter("n > 0 and id is not null").groupBy("h", "g", "minima").agg(F.min("id").alias("id"))
     )
     orders = _orders(classes, id_type).repartitionByRange(shuffle_partitions(spark), "key", "id").sortWithinPartitions("key", "id")
-    pairs = materialize(_neighbours(orders, id_type).groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    near = materialize(_neighbours(orders, id_type))
+    pairs = materialize(near.filter("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree")))
     sets = materialize(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), id_col, text_col, shingle))
     # first each set's best candidate
     ends = pairs.select(F.col("a").alias("id"), "a", "b", "agree").union(pairs.select(F.col("b").alias("id"), "a", "b", "agree"))
@@ -243,8 +348,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("coalesce(ca, a) != coalesce(cb, b)")
         .select("a", "b")
     )
-    links = links.unionByName(_confirmed(open_pairs, sets, percent))
+    links = materialize(links.unionByName(_confirmed(open_pairs, sets, percent)))
     part = materialize(connected_components(links))
+    # then all pairs of the regions that the window cut short and that are not one component
+    cut = near.filter("b is null").select("region", F.col("a").alias("id"))
+    owner = F.coalesce("component", "id")
+    several = cut.join(part, F.col("id") == F.col("node"), "left").groupBy("region").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi")).filter("lo != hi")
+    rest = materialize(cut.join(several, "region", "left_semi").select("id").distinct())
+    if not rest.isEmpty():
+        links = links.unionByName(_exact_links(_sets(docs, rest, id_col, text_col, shingle), links, percent))
+        part = materialize(connected_components(links))
     reps = materialize(
         classes.select("h", "g", "id").join(part, F.col("id") == F.col("node"), "left").select("h", "g", F.coalesce("component", "id").alias("component_id"))
     )

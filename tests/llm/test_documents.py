@@ -133,6 +133,43 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert {(r.doc_id, r.component_id, r.kept) for r in minhash_forest.near_duplicates(odd).collect()} == {(None, None, True), (3, 3, True), (4, 3, False)}
 
 
+def test_near_duplicates_in_a_large_boilerplate_family(spark):
+    """Pairs above the threshold among many sets just below it, and forms that only their template joins."""
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+
+    common, form = fresh(180), fresh(180)
+    texts = [common + fresh(27) for _ in range(1500)]  # similarity of two: 177 / (204 * 2 - 177), 0.77
+    for i in range(0, 400, 2):  # hidden pairs share some of what is their own: 0.83
+        texts[1499 - i] = texts[i][:187] + texts[1499 - i][187:]
+    texts += [form + fresh(40) for _ in range(300)] + [form]  # two of them 0.69, with the template 0.82
+    rng.shuffle(texts)
+    texts = dict(enumerate(" ".join(t) for t in texts))
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(df, shingle=4).collect()}
+    want = {i: find(i) for i in sets}
+    joined = [i for i in sets if want[i] != i]
+    assert len(joined) >= 400
+    print("family recall", sum(got[i] == want[i] for i in joined), "of", len(joined))
+    assert got == want
+
+
 def test_suffix_order_against_sorting(tmp_path):
     rng = random.Random(3)
     for trial in range(60):
