@@ -46,6 +46,8 @@ SMOOTH = 0.5
 LEAST_WEIGHT = 1.0
 BEGINNINGS = (4, 5, 6, 7)
 CACHE = 200_000
+#: Strings up to so many characters are kept in the caches; longer ones are read each time.
+KNOWN_CHARS = 128
 #: Evidence counts up to so many standard deviations.
 REACH = 6.0
 #: A toxic training row counts as so many: a missed one costs more than a false alarm.
@@ -62,7 +64,7 @@ LEET_COST, REPEAT_COST, SPACE_COST, KEEP_COST = 1.0, 1.0, 0.3, 3.0
 
 _CODE = {c: i for i, c in enumerate(ALPHABET)}
 _WORD = regex.compile(r"\p{L}+")
-_ODD = regex.compile(r"\p{L}[0-9@$!|+€£]+\p{L}|(\p{L})\1\1|(?<!\w)(?:[\p{L}0-9@$!|][.\-_*·]){2,}[\p{L}0-9@$!|](?!\w)|^[0-9@$!|+€£]+\p{L}+$")
+_ODD = regex.compile(r"\p{L}[0-9@$!|+€£]+\p{L}|(\p{L})\1\1|(?<!\w)(?:[\p{L}0-9@$!|][.\-_*·]){2,}[\p{L}0-9@$!|](?!\w)|^[0-9@$!|+€£]+\p{L}+$|\p{L}[0-9@$€£]+(?![\w@$€£])")
 
 
 def _code(c: str) -> int:
@@ -108,11 +110,12 @@ class Restorer:
     def arcs(text: str) -> list[list[tuple[str, int, float]]]:
         """From each place: (what is read, next place, channel cost)."""
         spaced = bool(regex.fullmatch(r"(?:\S[ .\-_*·])+\S", text))
+        ends = list(range(1, len(text) + 1))
+        for i in range(len(text) - 2, -1, -1):
+            if text[i] == text[i + 1]:
+                ends[i] = ends[i + 1]
         out = []
-        for i, c in enumerate(text):
-            end = i
-            while end < len(text) and text[end] == c:
-                end += 1
+        for i, (c, end) in enumerate(zip(text, ends, strict=True)):
             here = [(c, i + 1, 0.0 if c.isalpha() else KEEP_COST)]
             here += [(x, i + 1, LEET_COST) for x in LEET.get(c, "")]
             first = i == 0 or text[i - 1] != c
@@ -133,9 +136,9 @@ class Restorer:
         if found is not None:
             return found
         cost, arcs = self.cost, self.arcs(text)
-        # places -> (the two classes before it) -> (cost, reading)
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
-        best[0][(0, 0)] = (0.0, "")
+        # places -> (the two classes before it) -> (cost, reading as a chain of pieces, shared by the states)
+        best: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(len(text) + 1)]
+        best[0][(0, 0)] = (0.0, None)
         for i, here in enumerate(arcs):
             for (a, b), (so_far, read) in best[i].items():
                 for piece, j, channel in here:
@@ -146,12 +149,18 @@ class Restorer:
                         x, y = y, z
                     old = best[j].get((x, y))
                     if old is None or total < old[0]:
-                        best[j][(x, y)] = (total, read + piece)
+                        best[j][(x, y)] = (total, (read, piece))
             best[i] = {} if i else best[i]
-        found = min((t + cost[a, b, 0], r) for (a, b), (t, r) in best[-1].items())[1]
+        chain = min(((t + cost[a, b, 0], r) for (a, b), (t, r) in best[-1].items()), key=lambda x: x[0])[1]
+        pieces = []
+        while chain is not None:
+            chain, piece = chain
+            pieces.append(piece)
+        found = "".join(reversed(pieces))
         if len(self.known) >= CACHE:
             self.known.clear()
-        self.known[text] = found
+        if len(text) <= KNOWN_CHARS:
+            self.known[text] = found
         return found
 
 
@@ -194,7 +203,7 @@ class ToxicModel:
     def words(self, chunk: str) -> list[str]:
         if _ODD.search(chunk):
             # edges that are no letter or leetspeak stay as they are
-            chunk = " ".join(self.restorer.restore(p) if len(p) <= 64 and _ODD.search(p) else p for p in regex.split(r"[\n,;:?\"()]+|\.(?=\s|$)", chunk))
+            chunk = " ".join(self.restorer.restore(p) if _ODD.search(p) else p for p in regex.split(r"[\n,;:?\"()]+|\.(?=\s|$)", chunk))
         return _WORD.findall(chunk)
 
     def chunk(self, chunk: str) -> tuple[list[float], int]:
@@ -205,7 +214,7 @@ class ToxicModel:
             found = [x for w in words if (x := self.word_weight(w))], len(words)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            if len(chunk) <= 64:
+            if len(chunk) <= KNOWN_CHARS:
                 self.cache[chunk] = found
         return found
 
@@ -236,8 +245,7 @@ class ToxicModel:
             for run in np.split(np.arange(len(alone)), cut):
                 if len(run) >= 3:
                     spelt = " ".join(entries[c] for c in codes[alone[run]])
-                    if len(spelt) <= 128:
-                        weights[int(text[run[0]])] += [x for w in _WORD.findall(self.restorer.restore(spelt)) if (x := self.word_weight(w))]
+                    weights[int(text[run[0]])] += [x for w in _WORD.findall(self.restorer.restore(spelt)) if (x := self.word_weight(w))]
         return [self.evidence(w, int(b - a)) for w, a, b in zip(weights, total[:-1], total[1:], strict=True)]
 
     def scores(self, evidence: list[list[float]]) -> np.ndarray:

@@ -314,6 +314,19 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.score(df, blank).collect()} == {0.0}
 
 
+def test_toxicity_reads_long_spelt_texts_and_trailing_leetspeak():
+    plain = "they know such snarfle when they see the thing that such wrote here".split()
+    words = [*plain, "whore", "ass"]
+    model = toxicity.ToxicModel(toxicity.trigram_counts(words, np.full(len(words), 500.0)), {"snarfle$": (50, 0), "whore$": (50, 0)}, 0.1)
+    assert model.words("whor3") == ["whore"] and model.words("a55") == ["ass"] and model.words("whor3, a55") == ["whore", "ass"]
+    assert model.words("hello!") == ["hello"]
+    assert "snarfle" in model.words(".".join("".join(plain)))
+    for times in (4, 400):
+        [evidence, clean] = model.block([" ".join("".join(plain * times)), " ".join("thething" * times)])
+        assert evidence[0] == model.word_weight("snarfle") > 0 and evidence[2] > 0 and clean[0] == 0
+    assert set(model.restorer.restore("a" * 50_000)) == {"a"}
+
+
 def test_importance(spark, docs, empty):
     clean = [(i, prose(60)) for i in range(300)]
     junk = [(1000 + i, " ".join(f"zz{RNG.randint(0, 40)}%%%" for _ in range(60))) for i in range(60)]
