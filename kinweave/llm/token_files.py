@@ -17,45 +17,43 @@ only store that every executor reaches, one binary per shard; ``write_shard`` an
 are the same bytes as plain files. A document's start needs the tokens before its task, a sum for
 each task, and those before its shard, which the shard carries.
 
-Defined edge cases: null and empty texts hold only the end id; null ids sort first and come back
-null; rows that repeat an id follow each other in the order of their texts' hashes; extra columns
+Defined edge cases: ids are integers, as the format says (others raise a TypeError); null and empty
+texts hold only the end id; null ids sort first and come back null; rows that repeat an id follow each other in the order of their texts' hashes; extra columns
 are ignored; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import vocabulary_path
-from kinweave.llm.chunks import chunk_codes, gather
-from kinweave.llm.wordhash import blocks, buffers
+from kinweave.llm.wordhash import blocks, buffers, range_hashes
 from kinweave.session import ensure_checkpoint_dir, shuffle_partitions, table
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 BLOCK_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+#: Bound of the table of distinct chunks, about 50 bytes each.
+CACHE_CHUNKS = 1_000_000
+LONG_CHUNK = 512
+#: New chunks go to the library as running text of about so many bytes.
+RUNNING_BYTES = 1 << 16
 _EVERY = 512
-#: The split pattern of byte-level vocabularies, and white space besides the plain space.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: What the split of joined chunks cannot hold: blanks inside a chunk.
-_BREAKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  　"
-
-
-_ODD = f"^ *$|[{_BREAKS}]"
+#: White space of one byte; the rest is in ``_wide_blank``.
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 
 
 class WaveletMatrix:
@@ -196,10 +194,74 @@ def read_shard(path: str):
         return unpack_shard(f.read())
 
 
+class ChunkTable:
+    """Ids of distinct chunks by their hash: open addressing in arrays, for at most ``limit`` chunks."""
+
+    def __init__(self, limit: int, kind: np.dtype):
+        self.limit, self.count, self.used = limit, 0, 0
+        bits = (2 * limit - 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.at, self.n = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.flat = np.zeros(1 << 20, kind)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the keys, -1 for those the table lacks."""
+        slot, out, left = (keys >> self.shift).astype(np.int64), np.full(len(keys), -1), np.arange(len(keys))
+        while len(left):
+            here = self.keys[slot[left]]
+            hit = here == keys[left]
+            out[left[hit]] = slot[left[hit]]
+            left = left[~hit & (here != 0)]
+            slot[left] = (slot[left] + 1) & self.mask
+        return out
+
+    def put(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add distinct keys that the table lacks, with their ids one after the other."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), self.flat.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(lengths) - lengths
+        self.used, self.count = self.used + len(ids), self.count + len(keys)
+        slot, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            here = slot[left]
+            free = self.keys[here] == 0
+            self.keys[here[free]] = keys[left[free]]  # of keys that meet, one gets the slot
+            own = self.keys[here] == keys[left]
+            self.at[here[own]], self.n[here[own]] = at[left[own]], lengths[left[own]]
+            left = left[~own]
+            slot[left] = (slot[left] + 1) & self.mask
+
+
+def _blank_after(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a blank character starts at the places; ``data`` has three more bytes."""
+    a, b, c = data[at], data[at + 1], data[at + 2]
+    return _BLANK[a] | (a >= 0xC2) & _wide_blank(a, b, c)
+
+
+def _blank_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a blank character ends before the places."""
+    a, b, c = data[at - 1], data[at - 2], data[at - 3]
+    return _BLANK[a] | (a >= 0x80) & (_wide_blank(b, a, a) | _wide_blank(c, b, a))
+
+
+def _wide_blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    return two | general | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+
+
 class ByteBpe:
-    """The tokenizers library behind a bounded cache of distinct chunks and words."""
+    """The tokenizers library behind a bounded table of distinct chunks.
+
+    A chunk is a space and what follows up to the next space. The split pattern of byte-level files
+    never joins two chunks unless blanks meet, so texts where they do, or that hold a special token,
+    go to the library whole. Chunks the table lacks are sent to the library end to end, as
+    running text; a token's number of bytes tells to which chunk it belongs.
+    """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         # a task has one core; the library's thread pool would only spin
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -207,95 +269,131 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.words: dict[str, bytes] = {}
-        self.cache_words = cache_words
-
-    def whole(self, text: str) -> bool:
-        """Whether a text must not be cut at its spaces: blanks meet there, or a special token stands in it."""
-        if "  " in text or any(s in text for s in self.special):
-            return True
-        return any(c in text and (c + " " in text or " " + c in text) for c in _BLANKS) or (
-            not text.isascii() and regex.search(r" [  -   ]|[  -   ] ", text) is not None
-        )
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words; those the cache lacks go to the library together."""
-        known = self.words
-        missing = [w for w in words if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.cache_words:
-                # what this block uses stays, and with it what every block uses
-                known = {w: known[w] for w in words if w in known}
-            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            lengths = [len(e.ids) for e in encoded]
-            flat = np.array([i for e in encoded for i in e.ids], dtype=f"<u{self.width}").tobytes()
-            at = 0
-            for w, n in zip(missing, lengths, strict=True):
-                known[w] = flat[at : at + n * self.width]
-                at += n * self.width
-            out = [known[w] for w in words]
-            if len(known) > self.cache_words:
-                known = {}
-            self.words = known
-            return out
-        return [known[w] for w in words]
-
-    def _chunks(self, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks in one array, and the n + 1 offsets.
-
-        The chunks are split into words by one pass over all of them, a line each; a line break is
-        a word of its own there. Those that hold a blank themselves are split one by one.
-        """
-        odd = pc.match_substring_regex(pa.array(entries, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
-        plain = np.flatnonzero(~odd).tolist()
-        words = self.pattern.findall("\n".join([entries[i] for i in plain]))
-        coded = pa.array(words, pa.large_string()).dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        breaks = codes == distinct.index("\n") if len(plain) > 1 else np.zeros(len(codes), bool)
-        owner = np.array(plain, dtype=np.int64)[np.cumsum(breaks)[~breaks]] if plain else np.zeros(0, np.int64)
-        codes = codes[~breaks]
-        place = {w: k for k, w in enumerate(distinct)}
-        extra_owner, extra = [], []
-        for i in np.flatnonzero(odd).tolist():
-            for w in self.pattern.findall(entries[i]):
-                if w not in place:
-                    place[w] = len(distinct)
-                    distinct.append(w)
-                extra_owner.append(i)
-                extra.append(place[w])
-        if extra:
-            owner, codes = np.concatenate([owner, extra_owner]), np.concatenate([codes, extra])
-            order = np.argsort(owner, kind="stable")
-            owner, codes = owner[order], codes[order]
-        used = np.unique(codes)
-        parts = self._words([distinct[k] for k in used.tolist()])
-        return gather(np.searchsorted(used, codes), np.searchsorted(owner, np.arange(len(entries) + 1)), parts, self.width)
-
-    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts and the n + 1 offsets; every id comes from the library."""
-        odd = [i for i, t in enumerate(texts) if self.whole(t)]
-        skip = set(odd)
-        codes, offsets, entries = chunk_codes(["" if i in skip else t for i, t in enumerate(texts)])
-        # a chunk is looked up with the space before it, but for the first of a text
-        first = np.zeros(len(codes), dtype=bool)
-        first[offsets[:-1][np.diff(offsets) > 0]] = True
-        n = len(entries)
-        codes = codes + np.where(first, 0, n)
-        used = np.unique(codes)
-        flat, at = self._chunks([entries[c] if c < n else " " + entries[c - n] for c in used.tolist()])
-        codes = np.searchsorted(used, codes)
-        size = np.diff(at)[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids, ends = flat[np.arange(ends[-1]) + np.repeat(at[codes] - ends[:-1], size)], ends[offsets]
-        if odd:
-            each = np.split(ids, ends[1:-1])
-            for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-                each[i] = np.array(e.ids, dtype=ids.dtype)
-            ids, ends = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        return ids, ends
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        #: other files than byte-level ones with the usual split are encoded text by text
+        self.chunked = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)
+        self.cache_chunks = cache_chunks
+        self.table = ChunkTable(cache_chunks, self.kind)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter((len(x) for x in found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(lengths.sum())), lengths
+
+    def _chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and their numbers."""
+        size = ends - starts
+        running = (data[starts] == 32) & (size > 1) & ~_blank_before(data, ends)
+        ids, lengths = [], np.zeros(len(starts), np.int64)
+        at = np.flatnonzero(running)
+        if len(at):
+            reach = np.cumsum(size[at])
+            text = data[np.arange(reach[-1]) + np.repeat(starts[at] - (reach - size[at]), size[at])]
+            cut = np.unique(np.append(np.searchsorted(reach, np.arange(RUNNING_BYTES, reach[-1], RUNNING_BYTES)), len(at) - 1))
+            edges = np.concatenate([[0], reach[cut]]).tolist()
+            got, _ = self._library([text[a:b].tobytes().decode() for a, b in zip(edges, edges[1:], strict=False)])
+            token_ends = np.cumsum(self.bytes_of[got])
+            last = np.searchsorted(token_ends, reach)
+            if (token_ends[last] == reach).all():
+                lengths[at] = np.diff(last + 1, prepend=0)
+                ids.append(got)
+            else:
+                running[:] = False
+                at = at[:0]
+        rest = np.flatnonzero(~running)
+        if len(rest):
+            got, lengths[rest] = self._library([data[a:b].tobytes().decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+            ids.append(got)
+        flat = np.concatenate(ids) if ids else np.zeros(0, self.kind)
+        if len(at) and len(rest):
+            order = np.concatenate([at, rest])
+            begin = np.zeros(len(starts), np.int64)
+            begin[order] = np.cumsum(lengths[order]) - lengths[order]
+            flat = flat[_spread(begin, lengths)]
+        return flat, lengths
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that repeat, by way of the table."""
+        keys = np.maximum(range_hashes(data, starts, ends), np.uint64(1))
+        slot = self.table.find(keys)
+        lost = np.flatnonzero(slot < 0)
+        if len(lost):
+            new, first = np.unique(keys[lost], return_index=True)
+            if self.table.count + len(new) > self.table.limit:
+                # the table starts anew with this block, whose chunks are fewer than the bound
+                self.table = ChunkTable(max(self.cache_chunks, len(starts)), self.kind)
+                lost = np.arange(len(keys))
+                new, first = np.unique(keys, return_index=True)
+            first = lost[first]
+            self.table.put(new, *self._chunks(data, starts[first], ends[first]))
+            slot[lost] = self.table.find(keys[lost])
+        lengths = self.table.n[slot]
+        return self.table.flat[_spread(self.table.at[slot], lengths)], lengths
+
+    def encode_block(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (nulls have none) and the n + 1 offsets; every id comes from the library."""
+        raw, offsets = buffers(column)
+        raw = raw[offsets[0] : offsets[-1]]
+        # a few bytes either side, so that neighbours can be looked at everywhere
+        offsets, n = offsets - offsets[0] + 4, len(offsets) - 1
+        data = np.zeros(len(raw) + 8, np.uint8)
+        data[4:-4] = raw
+        begin = data == 32
+        spaces = np.flatnonzero(begin)
+        met = spaces[_blank_after(data, spaces + 1) | _blank_before(data, spaces)]
+        odd = np.zeros(n, dtype=bool)
+        odd[np.searchsorted(offsets, met, side="right") - 1] = True
+        whole = data.tobytes()
+        for s in self.special:
+            at = whole.find(s)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = whole.find(s, at + 1)
+        if not self.chunked:
+            odd[:] = True
+        begin[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], offsets[-1])[: len(starts)]
+        first = np.searchsorted(starts, offsets)
+        if odd.any():
+            keep = ~np.repeat(odd, np.diff(first))
+            starts, ends = starts[keep], ends[keep]
+            first = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(first)))])
+        # chunks of great length, whose hashes are weaker, are encoded each time they come
+        long = ends - starts > LONG_CHUNK
+        if long.any():
+            parts, lengths = [None, None], np.zeros(len(starts), np.int64)
+            for k, (some, way) in enumerate(((~long, self._known), (long, self._chunks))):
+                parts[k], lengths[some] = way(data, starts[some], ends[some])
+            source = np.where(long, len(parts[0]), 0)
+            for some in (~long, long):
+                source[some] += np.cumsum(lengths[some]) - lengths[some]
+            ids = np.concatenate(parts)[_spread(source, lengths)]
+        else:
+            ids, lengths = self._known(data, starts, ends)
+        out = np.concatenate([[0], np.cumsum(lengths)])[first]
+        if odd.any():
+            each = np.split(ids, out[1:-1])
+            at = np.flatnonzero(odd)
+            got, lengths = self._library([whole[a:b].decode() for a, b in zip(offsets[at].tolist(), offsets[at + 1].tolist(), strict=True)])
+            for i, x in zip(at.tolist(), np.split(got, np.cumsum(lengths)[:-1]), strict=True):
+                each[i] = x
+            ids, out = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return ids, out
+
+
+def _spread(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - lengths), lengths)
 
 
 @lru_cache(maxsize=2)
@@ -307,6 +405,8 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, name: str =
                  text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> str:
     """Encode all documents and write their shards, in ascending order of ids, to the folder ``out``."""
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in {"byte", "short", "integer", "long"}:
+        raise TypeError(f"{id_col} must hold integers")
 
     def run(batches):
         bpe = byte_encoder(path or vocabulary_path(name))
@@ -325,7 +425,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, name: str =
 
         for batch in batches:
             for a, b in blocks(buffers(batch.column(1))[1], BLOCK_BYTES):
-                ids, ends = bpe.encode_block(batch.column(1).slice(a, b - a).fill_null("").to_pylist())
+                ids, ends = bpe.encode_block(batch.column(1).slice(a, b - a))
                 doc_ids = batch.column(0).slice(a, b - a).to_pylist()
                 for d, s, e in zip(doc_ids, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     rows.append((d, np.append(ids[s:e], ids.dtype.type(END_ID))))

@@ -85,6 +85,21 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         at = end
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """Hashes of ascending byte ranges that do not overlap, worked off in pieces of about ``limit`` bytes."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + limit, side="right")))
+        s, e = starts[at:end] - starts[at], ends[at:end] - starts[at]
+        n = int(e[-1])
+        up, down = _powers(n)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[starts[at] : starts[at] + n]] * up[:n], out=sums[1:])
+        out[at:end] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = end
+    return out
+
+
 class Words:
     """Words of a block of texts: byte ranges, hashes, and the first word of each text."""
 

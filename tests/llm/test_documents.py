@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +275,28 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert got == want
     token_files.write_tokens(empty, str(tmp_path / "none"))
     assert token_files.read_tokens(spark, str(tmp_path / "none")).count() == 0
+    # null and repeated ids, columns whose names clash with the operator's own, a text of a megabyte
+    long = " ".join(prose(50) for _ in range(3500))
+    more = [(None, "x y", 1, "a"), (7, "b c", 2, "b"), (7, None, 3, "c"), (7, "b c", 4, "d"), (3, long, 5, "e")]
+    odd = spark.createDataFrame(more, "doc_id long, text string, start long, data string")
+    back = token_files.read_tokens(spark, token_files.write_tokens(odd, str(tmp_path / "odd"), shard_tokens=3)).orderBy("start").collect()
+    size = {x: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _, _ in more}
+    assert [r.doc_id for r in back] == [None, 3, 7, 7, 7] and [r.n_tokens for r in back[:2]] == [size["x y"], size[long]]
+    assert Counter(r.n_tokens for r in back[2:]) == Counter([1, size["b c"], size["b c"]])
+    assert [r.start for r in back] == [sum(r.n_tokens for r in back[:k]) for k in range(5)]
+    with pytest.raises(TypeError):
+        token_files.write_tokens(spark.createDataFrame([("a", "x")], "doc_id string, text string"), str(tmp_path / "text"))
+
+
+def test_byte_encoder_equals_the_library_on_odd_texts():
+    t = library("byte_bpe_50k.json")
+    rng = random.Random(3)
+    letters = [*" \t\n\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000abé日'Sstl129.,!?<|>", "<|endoftext|>", "  ", "we're", " x", "q" * 600]
+    encoder = token_files.ByteBpe(bpe.vocabulary_path("byte_bpe_50k.json"), 40)
+    for _ in range(400):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6))]
+        ids, ends = encoder.encode_block(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 def test_wavelet_matrix(tmp_path):
