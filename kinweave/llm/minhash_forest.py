@@ -3,15 +3,18 @@
 Every text's set of word shingles gets ``TREES`` x ``DEPTH`` minima. A tree is a sorted order of
 the sets by its minima; the orders are dealt by range, so a hot region is split between tasks, and
 are read as streams. Candidates are neighbours with a common prefix of at least ``MIN_PREFIX``
-minima: all within ``WINDOW`` places where the region is that small; in larger regions the
-depth adapts, as only the ``NEAREST`` best of the window (longest agreement of the sketches) and the
-region's hubs (rows nearest to the majority sketch of the region) are taken. A candidate must agree
+minima: all within ``WINDOW`` places where the region is that small. In larger regions the
+depth adapts: of the window a set takes the ``NEAREST`` with which its common prefix is longest (at a
+tie the best agreement of the sketches), so the region is cut as deep as it must be to leave so many;
+the region's hubs (rows nearest to its majority sketch) are candidates of all. A candidate must agree
 in ``MIN_AGREE`` of 128 one-bit minima, six standard deviations below the expectation at
 similarity 0.8.
 
-Links are confirmed on full sets: first each set's best candidate, then every candidate whose ends
-are still in different components, so a link that is left out could not change the result. Sets
-that are equal are one class from the start, so copies never meet each other as pairs.
+Links are confirmed on full sets: in ``ROUNDS`` rounds each component's best candidate to another
+one, after which few components are left, then every candidate whose ends are still in different
+components, so a link that is left out could not change the result. Sets that are equal are one class
+from the start, so copies never meet each other as pairs, and after each round components stand for
+their sets.
 
 What a window may have cut short, a region above ``WINDOW`` or one at the edge of a task, goes to an
 exact join on full sets (``_exact_links``) unless all of it is one component by then.
@@ -40,6 +43,7 @@ from kinweave.session import materialize, shuffle_partitions, table
 TREES, DEPTH, MIN_PREFIX = 20, 6, 3
 HASHES = 128
 WINDOW, NEAREST, HUBS = 16, 2, 2
+ROUNDS = 2
 MIN_AGREE = 96
 #: Ids up to this many are sent to every executor when candidates' texts are fetched; beyond, a join.
 BROADCAST_IDS = 1_000_000
@@ -135,6 +139,7 @@ def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
     """Candidate pairs (a, b, agree) from the sorted orders, read as streams; and rows (a, region) of
     the regions that the window may cut short, large ones and those at the edges of a task."""
     prefix = 1 + 4 * MIN_PREFIX
+    deeper = DEPTH - MIN_PREFIX
     schema = f"a {id_type}, b {id_type}, agree long, region binary"
 
     def wide_rows(keys, ids, of_type):
@@ -149,6 +154,7 @@ def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
         for batch in batches:
             # a trailing byte keeps zero bytes at the end apart
             keys = np.array([k[:prefix] + b"\x01" for k in batch.column(0).to_pylist()])
+            rest_keys = np.frombuffer(b"".join(k[prefix:] for k in batch.column(0).to_pylist()), dtype=np.uint32).reshape(-1, deeper)
             ids = np.array(batch.column(1).to_pylist(), dtype=object)
             sketch = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1).view(np.uint64)
             if not len(keys):
@@ -156,7 +162,7 @@ def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
             fresh = 0
             if old is not None:
                 fresh = len(old[0])
-                keys, ids, sketch = np.concatenate([old[0], keys]), np.concatenate([old[1], ids]), np.concatenate([old[2], sketch])
+                keys, ids, sketch, rest_keys = (np.concatenate(x) for x in zip(old, (keys, ids, sketch, rest_keys), strict=True))
             n = len(keys)
             edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.append(edge, n))
@@ -180,7 +186,8 @@ def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
             wide = large[pairs[:, 0]]
             rest, many = pairs[~wide], pairs[wide]
             if len(many):
-                many = many[np.lexsort((many[:, 1], -many[:, 2], many[:, 0]))]
+                common = np.minimum.accumulate(rest_keys[many[:, 0]] == rest_keys[many[:, 1]], axis=1).sum(axis=1)
+                many = many[np.lexsort((many[:, 1], -many[:, 2], -common, many[:, 0]))]
                 begin = np.flatnonzero(np.concatenate([[True], many[1:, 0] != many[:-1, 0]]))
                 rank = np.arange(len(many)) - np.repeat(begin, np.diff(np.append(begin, len(many))))
                 rest = np.concatenate([rest, many[rank < NEAREST]])
@@ -204,7 +211,7 @@ def _neighbours(orders: DataFrame, id_type: str) -> DataFrame:
                     names=["a", "b", "agree", "region"],
                 )
             # one row more than the window: a region that goes on is large here if it is large at all
-            old = keys[-WINDOW - 1 :], ids[-WINDOW - 1 :], sketch[-WINDOW - 1 :]
+            old = tuple(x[-WINDOW - 1 :] for x in (keys, ids, sketch, rest_keys))
         if old is not None:
             last = old[0] == old[0][-1]
             yield wide_rows(old[0][last], old[1][last], of_type)
@@ -324,6 +331,27 @@ def _exact_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     return new
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after links (src, dst) between components or sets that have none yet."""
+    step = connected_components(links).select(F.col("node").alias("__old"), F.col("component").alias("__new"))
+    moved = label.join(step, F.col("component") == F.col("__old"), "left").select("node", F.coalesce("__new", "component").alias("component"))
+    fresh = step.join(label.select("node"), F.col("__old") == F.col("node"), "left_anti").select(F.col("__old").alias("node"), F.col("__new").alias("component"))
+    return materialize(moved.unionByName(fresh))
+
+
+def _between(pairs: DataFrame, label: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``pairs`` whose ends are in different components, with these as ca and cb."""
+    ends = pairs.join(label.select(F.col("node").alias(a), F.col("component").alias("ca")), a, "left")
+    ends = ends.join(label.select(F.col("node").alias(b), F.col("component").alias("cb")), b, "left")
+    return ends.withColumns({"ca": F.coalesce("ca", a), "cb": F.coalesce("cb", b)}).filter("ca != cb")
+
+
+def _component_links(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links as links between components, each once."""
+    ends = _between(links, label, "src", "dst")
+    return ends.select(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable) and kept."""
     spark = docs.sparkSession
@@ -336,27 +364,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = materialize(_neighbours(orders, id_type))
     pairs = materialize(near.filter("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree")))
     sets = materialize(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), id_col, text_col, shingle))
-    # first each set's best candidate
-    ends = pairs.select(F.col("a").alias("id"), "a", "b", "agree").union(pairs.select(F.col("b").alias("id"), "a", "b", "agree"))
-    first = ends.groupBy("id").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = materialize(_confirmed(first, sets, percent))
-    part = connected_components(links)
+    label = materialize(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0))
+    # each component's best candidate, round by round
+    left = pairs
+    for _ in range(ROUNDS):
+        left = materialize(_between(left, label))
+        ends = left.select(F.col("ca").alias("c"), "a", "b", "agree").union(left.select(F.col("cb").alias("c"), "a", "b", "agree"))
+        best = materialize(ends.groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
+        label = _merged(label, _component_links(_confirmed(best, sets, percent), label))
+        left = left.join(best, ["a", "b"], "left_anti").select("a", "b", "agree")
     # then every candidate between components, and no others
-    open_pairs = (
-        pairs.join(part.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .filter("coalesce(ca, a) != coalesce(cb, b)")
-        .select("a", "b")
-    )
-    links = materialize(links.unionByName(_confirmed(open_pairs, sets, percent)))
-    part = materialize(connected_components(links))
+    part = _merged(label, _component_links(_confirmed(_between(left, label).select("a", "b"), sets, percent), label))
     # then all pairs of the regions that the window cut short and that are not one component
     cut = near.filter("b is null").select("region", F.col("a").alias("id"))
     owner = F.coalesce("component", "id")
     several = cut.join(part, F.col("id") == F.col("node"), "left").groupBy("region").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi")).filter("lo != hi")
     rest = materialize(cut.join(several, "region", "left_semi").select("id").distinct())
     if not rest.isEmpty():
-        links = links.unionByName(_exact_links(_sets(docs, rest, id_col, text_col, shingle), links, percent))
+        star = part.filter("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        links = star.unionByName(_exact_links(_sets(docs, rest, id_col, text_col, shingle), star, percent))
         part = materialize(connected_components(links))
     reps = materialize(
         classes.select("h", "g", "id").join(part, F.col("id") == F.col("node"), "left").select("h", "g", F.coalesce("component", "id").alias("component_id"))
