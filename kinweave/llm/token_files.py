@@ -44,9 +44,9 @@ from kinweave.session import ensure_checkpoint_dir, shuffle_partitions, table
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Bound of the table of distinct chunks, about 50 bytes each.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 LONG_CHUNK = 512
 #: New chunks go to the library as running text of about so many bytes.
 RUNNING_BYTES = 1 << 16
