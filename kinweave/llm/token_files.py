@@ -69,15 +69,15 @@ class WaveletMatrix:
         zeros, ranks, planes = [], [], []
         x = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         for k in range(levels - 1, -1, -1):
-            ones = (x >> x.dtype.type(k) & x.dtype.type(1)).view(x.dtype).astype(bool)
+            ones = (x & x.dtype.type(1 << k)) != 0
             bits = np.packbits(ones, bitorder="little")
             pad = np.zeros(-len(bits) % (_EVERY // 8), np.uint8)
             count = np.bitwise_count(np.concatenate([bits, pad]).view(np.uint64)).reshape(-1, _EVERY // 64).sum(axis=1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(count)]).astype(np.uint32))
             planes.append(bits)
-            low = x[~ones]
+            low = np.compress(~ones, x)
             zeros.append(len(low))
-            x = np.concatenate([low, x[ones]])
+            x = np.concatenate([low, np.compress(ones, x)])
         return cls(len(ids), zeros, ranks, planes)
 
     def rank(self, level: int, i: int) -> int:
@@ -139,8 +139,8 @@ class WaveletMatrix:
         for k, (zeros, bits) in enumerate(zip(reversed(self.zeros), reversed(self.planes), strict=True)):
             ones = np.unpackbits(bits, count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(x)
-            up[~ones] = x[:zeros]
-            up[ones] = x[zeros:] | x.dtype.type(1 << k)
+            up[np.flatnonzero(~ones)] = x[:zeros]
+            up[np.flatnonzero(ones)] = x[zeros:] | x.dtype.type(1 << k)
             x = up
         return x
 
@@ -234,6 +234,37 @@ class ChunkTable:
             slot[left] = (slot[left] + 1) & self.mask
 
 
+#: Classes of bytes that the split pattern tells apart; 0 is everything else, white space and
+#: all of non-ASCII text but Latin-1 letters among it.
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _BREAK = 1, 2, 3, 4, 5
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x27], _CLASS[0x0A] = _APOSTROPHE, _BREAK
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places at which the split pattern ends a token whatever stands around: a space, and where letters, digits,
+    signs and single line breaks meet. What follows an apostrophe stays with it, as it may be a contraction."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second != 0x97) & (second != 0xB7) & (second >= 0x80) & (second <= 0xBF)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    known = kind > 0
+    out = data == 32
+    before, here = kind[:-1], kind[1:]
+    out[1:] |= known[:-1] & known[1:] & (before != here) & (before != _APOSTROPHE) & ~((before == _SIGN) & (here == _APOSTROPHE))
+    # a line break is a token of its own only between two that are none; others stay as they are
+    at = np.flatnonzero(kind == _BREAK)
+    at = at[(at > 0) & (at < len(data) - 1)]
+    alone = known[at - 1] & known[at + 1] & (kind[at - 1] != _BREAK) & (kind[at + 1] != _BREAK)
+    out[at[~alone]] = False
+    out[at[~alone] + 1] &= data[at[~alone] + 1] == 32
+    return out
+
+
 def _blank_after(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether a blank character starts at the places; ``data`` has three more bytes."""
     a, b, c = data[at], data[at + 1], data[at + 2]
@@ -255,10 +286,11 @@ def _wide_blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 class ByteBpe:
     """The tokenizers library behind a bounded table of distinct chunks.
 
-    A chunk is a space and what follows up to the next space. The split pattern of byte-level files
-    never joins two chunks unless blanks meet, so texts where they do, or that hold a special token,
-    go to the library whole. Chunks the table lacks are sent to the library end to end, as
-    running text; a token's number of bytes tells to which chunk it belongs.
+    A chunk is what stands between two ``cuts``, a space in front included. The split pattern of byte-level
+    files never joins two chunks unless blanks meet, so texts where they do, or that hold a special
+    token, go to the library whole. Chunks the table lacks are sent to the library as running text, with
+    line breaks between those that have no space in front; a token's number of bytes tells to which
+    chunk it belongs.
     """
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
@@ -291,30 +323,37 @@ class ByteBpe:
     def _chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, one after the other, and their numbers."""
         size = ends - starts
-        running = (data[starts] == 32) & (size > 1) & ~_blank_before(data, ends)
-        ids, lengths = [], np.zeros(len(starts), np.int64)
-        at = np.flatnonzero(running)
-        if len(at):
-            reach = np.cumsum(size[at])
-            text = data[np.arange(reach[-1]) + np.repeat(starts[at] - (reach - size[at]), size[at])]
+        spaced, blank_end = data[starts] == 32, _blank_before(data, ends)
+        running = (size > 1) & spaced & ~blank_end
+        lines = ~spaced & ~blank_end & ~_blank_after(data, starts)
+        ids, lengths, order = [], np.zeros(len(starts), np.int64), []
+        for some, gap in ((running, 0), (lines, 1)):
+            at = np.flatnonzero(some)
+            if not len(at):
+                continue
+            reach = np.cumsum(size[at] + gap)
+            text = data[_spread(starts[at], size[at] + gap)]
+            if gap:
+                text[reach - 1] = 10
             cut = np.unique(np.append(np.searchsorted(reach, np.arange(RUNNING_BYTES, reach[-1], RUNNING_BYTES)), len(at) - 1))
             edges = np.concatenate([[0], reach[cut]]).tolist()
             got, _ = self._library([text[a:b].tobytes().decode() for a, b in zip(edges, edges[1:], strict=False)])
             token_ends = np.cumsum(self.bytes_of[got])
             last = np.searchsorted(token_ends, reach)
-            if (token_ends[last] == reach).all():
-                lengths[at] = np.diff(last + 1, prepend=0)
-                ids.append(got)
-            else:
-                running[:] = False
-                at = at[:0]
-        rest = np.flatnonzero(~running)
+            if (token_ends[last] != reach).any() or (gap and (self.bytes_of[got[last]] != 1).any()):
+                some[:] = False  # not the split this class knows: one by one
+                continue
+            lengths[at] = np.diff(last + 1, prepend=0) - gap
+            ids.append(np.delete(got, last) if gap else got)
+            order.append(at)
+        rest = np.flatnonzero(~running & ~lines)
         if len(rest):
             got, lengths[rest] = self._library([data[a:b].tobytes().decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
             ids.append(got)
+            order.append(rest)
         flat = np.concatenate(ids) if ids else np.zeros(0, self.kind)
-        if len(at) and len(rest):
-            order = np.concatenate([at, rest])
+        if len(order) > 1:
+            order = np.concatenate(order)
             begin = np.zeros(len(starts), np.int64)
             begin[order] = np.cumsum(lengths[order]) - lengths[order]
             flat = flat[_spread(begin, lengths)]
@@ -346,8 +385,9 @@ class ByteBpe:
         offsets, n = offsets - offsets[0] + 4, len(offsets) - 1
         data = np.zeros(len(raw) + 8, np.uint8)
         data[4:-4] = raw
-        begin = data == 32
-        spaces = np.flatnonzero(begin)
+        begin = cuts(data)
+        begin[: offsets[0]] = begin[offsets[-1] :] = False
+        spaces = np.flatnonzero(data == 32)
         met = spaces[_blank_after(data, spaces + 1) | _blank_before(data, spaces)]
         odd = np.zeros(n, dtype=bool)
         odd[np.searchsorted(offsets, met, side="right") - 1] = True
