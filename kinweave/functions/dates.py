@@ -74,27 +74,97 @@ def parse_date(year_now: int):
     return parse
 
 
-def sort_key(year: Column, month: Column, day: Column, qualifier: Column | None = None) -> Column:
-    """Order of partial dates: before sorts just under, after and year-only over the exact days."""
-    base = year * 10000 + F.coalesce(month, F.lit(0)) * 100 + F.coalesce(day, F.lit(0))
-    late = F.when(month.isNull(), 9000).when(day.isNull(), 50).otherwise(0)
-    if qualifier is None:
-        return base + late
-    return base + F.when(qualifier == "before", -1).when(qualifier == "after", 9999).otherwise(late)
-
-
-def date_similarity(y1: Column, m1: Column, d1: Column, y2: Column, m2: Column, d2: Column, span: int = 4) -> Column:
-    """Exact day 1, same month 0.9, same year 0.55 with contradicting months else 0.8, then down to 0 at ``span`` years."""
-    gap = F.abs(y1 - y2)
-    same_month = m1.isNotNull() & m2.isNotNull() & (m1 == m2)
+def sort_key(date: Column) -> Column:
+    """Order of partial dates: before a year just under it and after one past its end, whatever the month;
+    a period by its end; months without a day mid-month, years alone after all their days, no year last."""
+    end = (date["qualifier"] == "range") & date["year2"].isNotNull()
+    year, month, day = (F.when(end, date[f"{p}2"]).otherwise(date[p]) for p in ("year", "month", "day"))
+    return F.coalesce(
+        F.when(date["year"].isNull(), F.lit(9_999_999))
+        .when(date["qualifier"] == "before", date["year"] * 10000 - 1)
+        .when(date["qualifier"] == "after", date["year"] * 10000 + 9999)
+        .when(F.coalesce(month, F.lit(0)) == 0, year * 10000 + 9000)
+        .when(F.coalesce(day, F.lit(0)) == 0, year * 10000 + month * 100 + 50)
+        .otherwise(year * 10000 + month * 100 + day),
+        F.lit(9_999_999),
+    )
+
+
+#: Qualifiers that bound a date, the years two dates may be apart, and the scores within a year.
+BOUNDS = ("before", "after", "between", "range", "from", "to")
+TOLERANCE, LOOSE = 4, 10
+OTHER_MONTH, NEAR, EXACT = 0.55, 0.9, 1.0
+
+
+def date_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two partial dates (structs), null if either has no year.
+
+    Bounds that meet are as good as near; others fall linearly with the years apart, more slowly if
+    a date is not exact. Within a year only two exact days that agree are the same.
+    """
+    far = F.lit(1 << 20)
+
+    def low(d: Column) -> Column:
+        other = F.when(d["qualifier"].isin("between", "range"), F.least(d["year"], F.coalesce(d["year2"], d["year"])))
+        return F.when(d["qualifier"].isin("before", "to"), -far).otherwise(F.coalesce(other, d["year"]))
+
+    def high(d: Column) -> Column:
+        other = F.when(d["qualifier"].isin("between", "range"), F.greatest(d["year"], F.coalesce(d["year2"], d["year"])))
+        return F.when(d["qualifier"].isin("after", "from"), far).otherwise(F.coalesce(other, d["year"]))
+
+    outside = F.greatest(low(a) - high(b), low(b) - high(a))
+    loose = (a["qualifier"] != "exact") | (b["qualifier"] != "exact")
+    reach = F.when(loose, LOOSE).otherwise(TOLERANCE)
+    gap = F.abs(a["year"] - b["year"])
+    differ = [F.coalesce(a[p] != b[p], F.lit(False)) for p in ("month", "day")]
+    whole = a["day"].isNotNull() & a["month"].isNotNull() & b["day"].isNotNull() & b["month"].isNotNull()
+    return (
+        F.when(F.coalesce(a["year"], F.lit(0)) * F.coalesce(b["year"], F.lit(0)) == 0, F.lit(None).cast("double"))
+        .when((a["qualifier"].isin(*BOUNDS) | b["qualifier"].isin(*BOUNDS)) & (outside <= 0), NEAR)
+        .when(a["qualifier"].isin(*BOUNDS) | b["qualifier"].isin(*BOUNDS), F.when(outside > LOOSE, 0.0).otherwise(1 - outside / F.lit(LOOSE + 1.0)))
+        .when(gap > reach, 0.0)
+        .when(gap != 0, 1 - gap / (reach + 1.0))
+        .when(differ[0], OTHER_MONTH)
+        .when(differ[1], NEAR)
+        .when(~loose & whole, EXACT)
+        .otherwise(NEAR)
+    )
+
+
+def precision(date: Column) -> Column:
+    """0 nothing, 1 year, 2 month, 3 day; half a step less if the date is not exact."""
+    rank = F.when(date["month"].isNull(), 1.0).when(date["day"].isNull(), 2.0).otherwise(3.0)
+    return F.when(date["year"].isNull(), 0.0).otherwise(rank - F.when(date["qualifier"] != "exact", 0.5).otherwise(0.0))
+
+
+def refines(main: Column, incoming: Column) -> Column:
+    """The incoming date says more than the main one and contradicts nothing of it; periods refine nothing."""
+    agree = [main[p].isNull() | (main[p] == F.coalesce(incoming[p], F.lit(-1))) for p in ("month", "day")]
+    return F.coalesce(
+        (main["year"] == incoming["year"]) & main["year2"].isNull() & incoming["year2"].isNull() & agree[0] & agree[1] & (precision(incoming) > precision(main)),
+        F.lit(False),
+    )
+
+
+def compare_key(date: Column, folded: Column) -> Column:
+    """Equal for dates that mean the same; what is no date falls back to its folded text."""
+    parts = F.concat_ws("|", date["qualifier"], *[F.coalesce(date[p].cast("string"), F.lit("")) for p in ("year", "month", "day", "year2", "month2", "day2")])
+    return F.when(F.coalesce(date["qualifier"], F.lit("unknown")) == "unknown", F.regexp_replace(folded, r"\s+", "")).otherwise(parts)
+
+
+def birth_sort_key(date: Column) -> Column:
+    """Year, month and day as a number, absent parts 0; infinite without a year."""
+    return F.coalesce((date["year"] * 10000 + F.coalesce(date["month"], F.lit(0)) * 100 + F.coalesce(date["day"], F.lit(0))).cast("double"), F.lit(float("inf")))
+
+
+def lifespan(birth: Column, death: Column, deceased: Column) -> Column:
+    """1817–1921, 1817– (dead, no year), 1817, –1921 or nothing."""
+    b, d = birth.cast("string"), death.cast("string")
     return (
-        F.when(y1.isNull() | y2.isNull() | (y1 == 0) | (y2 == 0), F.lit(None).cast("double"))
-        .when((gap == 0) & same_month & (d1 == d2), 1.0)
-        .when((gap == 0) & same_month, 0.9)
-        .when((gap == 0) & m1.isNotNull() & m2.isNotNull(), 0.55)
-        .when(gap == 0, 0.8)
-        .when(gap < span, 0.55 * (1 - gap / F.lit(float(span))))
-        .otherwise(0.0)
+        F.when(birth.isNotNull() & death.isNotNull(), F.concat(b, F.lit("–"), d))
+        .when(birth.isNotNull(), F.concat(b, F.when(deceased, "–").otherwise("")))
+        .when(death.isNotNull(), F.concat(F.lit("–"), d))
+        .otherwise("")
     )
 
 

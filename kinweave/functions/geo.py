@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
+#: Fixed value: the latitude at which the map ends.
+MERCATOR_EDGE = 85.0511
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -18,7 +20,7 @@ def mercator_x(lon: Column, zoom: int) -> Column:
 
 
 def mercator_y(lat: Column, zoom: int) -> Column:
-    s = F.sin(F.radians(F.greatest(F.lit(-85.0), F.least(F.lit(85.0), lat))))
+    s = F.sin(F.radians(F.greatest(F.lit(-MERCATOR_EDGE), F.least(F.lit(MERCATOR_EDGE), lat))))
     return (0.5 - F.log((1 + s) / (1 - s)) / (4 * 3.141592653589793)) * (256 * 2**zoom)
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names that stand for "unknown".
-PLACEHOLDERS = ("nn", "n", "unknown", "living", "private", "unnamed", "neznano", "neznan", "neznana", "unbekannt", "inconnu", "private")
+#: Words that stand for a name which is not known or not told.
+PLACEHOLDERS = ("nn", "living", "privat", "private", "unknown", "unbekannt", "neznan", "neznana", "neznano", "ime", "priimek")
 
 
 def fold_text(text: str | None) -> str | None:
@@ -41,9 +41,9 @@ def compare_key(text: Column) -> Column:
 
 
 def is_placeholder(folded: Column) -> Column:
-    """Every word of a folded name is a placeholder, or it has no letters."""
+    """Every word of a folded name is a placeholder or a single letter, or it has no letters."""
     words = F.filter(F.split(folded, r"[^\p{L}]+"), lambda w: w != "")
-    return F.forall(words, lambda w: w.isin(*PLACEHOLDERS))
+    return F.forall(words, lambda w: (F.length(w) <= 1) | w.isin(*PLACEHOLDERS))
 
 
 def jaro(a: str, b: str) -> float:
@@ -52,7 +52,7 @@ def jaro(a: str, b: str) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
     used, left = [False] * len(b), []
     for i, c in enumerate(a):
         for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
@@ -63,7 +63,7 @@ def jaro(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [c for c, u in zip(b, used, strict=True) if u]
-    moved = sum(x != y for x, y in zip(left, right, strict=True)) // 2
+    moved = sum(x != y for x, y in zip(left, right, strict=True)) / 2
     m = len(left)
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 

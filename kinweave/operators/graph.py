@@ -45,34 +45,57 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return root.join(least, "root").select("node", "component")
 
 
+#: Generations of a walk are merged into one table whenever so many have come together.
+MERGE_EVERY = 8
+
+
+def _merged(tables: list[DataFrame]) -> list[DataFrame]:
+    """One written table in place of many, so that a round's anti-join reads few files."""
+    if len(tables) < MERGE_EVERY:
+        return tables
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return [materialize(out)]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def bfs_distance(edges: DataFrame, start: DataFrame, max_hops: int = 1000) -> DataFrame:
     """(node, distance) of every node reachable from ``start`` (column node) over ``edges`` (src, dst).
 
-    A frontier per round, without the nodes seen before; cycles end by themselves.
+    A frontier per round, without the nodes seen before; cycles end by themselves. Only the last two rounds can be
+    met again over edges that go both ways, but edges may be directed, so all seen nodes are kept out.
     """
     e = edges.select("src", "dst")
-    seen = materialize(start.select("node").distinct().withColumn("distance", F.lit(0)))
-    frontier = seen
+    frontier = materialize(start.select("node").distinct().withColumn("distance", F.lit(0)))
+    seen = [frontier]
     for hop in range(1, max_hops + 1):
         reached = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = materialize(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hop)))
+        frontier = materialize(reached.join(_union(seen).select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        seen = _merged([*seen, frontier])
+    return _union(seen)
 
 
 def closure(parents: DataFrame, start: DataFrame, max_generations: int = 1000) -> DataFrame:
     """(start, node, generation): ancestors of each start node over ``parents`` (child, parent), by the shortest way."""
-    seen = materialize(start.select(F.col("node").alias("start"), "node").distinct().withColumn("generation", F.lit(0)))
-    frontier = seen
+    up = parents.select(F.col("child").alias("node"), "parent")
+    frontier = materialize(start.select(F.col("node").alias("start"), "node").distinct().withColumn("generation", F.lit(0)))
+    seen = [frontier]
     for g in range(1, max_generations + 1):
-        up = frontier.join(parents.select(F.col("child").alias("node"), "parent"), "node").select("start", F.col("parent").alias("node")).distinct()
-        frontier = materialize(up.join(seen, ["start", "node"], "left_anti").withColumn("generation", F.lit(g)))
+        reached = frontier.join(up, "node").select("start", F.col("parent").alias("node")).distinct()
+        frontier = materialize(reached.join(_union(seen).select("start", "node"), ["start", "node"], "left_anti").withColumn("generation", F.lit(g)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        seen = _merged([*seen, frontier])
+    return _union(seen)
 
 
 def ahnentafel(parents: DataFrame, root, max_generations: int = 60) -> DataFrame:
@@ -125,16 +148,51 @@ def shortest_path(edges: DataFrame, source, target, max_hops: int = 1000) -> lis
 
 
 def cycle_members(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node) on a directed cycle or between two: nodes without a way in or out are peeled off round by round."""
-    e = materialize(edges.select("src", "dst").distinct())
-    count = e.count()
-    for _ in range(max_rounds):
-        e = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        left = e.count()
-        if left == count:
+    """(node): nodes on a directed cycle, loops of one node included; what only lies between two cycles is none.
+
+    Nodes without a way in or out are peeled off; then, round by round, every node takes the largest colour that
+    reaches it, and what goes back to the colour's own node within the colour is one strongly connected part and
+    leaves, until no edge is left.
+    """
+    e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    loops = materialize(e.filter("src = dst").select(F.col("src").alias("node")))
+    e = materialize(e.filter("src != dst"))
+    found, rounds = [loops], 0
+
+    def spread(colour: DataFrame, way: DataFrame) -> DataFrame:
+        """Each node's colour after it took the largest of those before it, until nothing changes."""
+        nonlocal rounds
+        while True:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"loops are not settled after {max_rounds} rounds")
+            came = way.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("n"))
+            new = materialize(colour.join(came, "node", "left").select("node", F.greatest("c", F.coalesce("n", "c")).alias("c"), (F.coalesce("n", "c") > F.col("c")).alias("moved")))
+            colour = new.select("node", "c")
+            if new.filter("moved").isEmpty():
+                return colour
+
+    while True:
+        before = -1
+        while (count := e.count()) != before:
+            before = count
+            e = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        if not count:
             break
-        count = left
-    return e.select(F.col("src").alias("node")).distinct()
+        nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+        colour = spread(nodes.select("node", F.col("node").alias("c")), e)
+        # within one colour, backwards from the node that gave it
+        ends = e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
+        back = materialize(ends.filter("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cs").alias("c")))
+        core = frontier = materialize(colour.filter("node = c"))
+        while not frontier.isEmpty():
+            reached = frontier.join(back.withColumnRenamed("src", "node"), ["node", "c"]).select(F.col("dst").alias("node"), "c").distinct()
+            frontier = materialize(reached.join(core, ["node", "c"], "left_anti"))
+            core = materialize(core.unionByName(frontier))
+        size = core.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1")
+        found.append(materialize(core.join(size, "c").select("node")))
+        e = materialize(e.join(core.select(F.col("node").alias("src")), "src", "left_anti").join(core.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    return _union(found).distinct()
 
 
 def islands(edges: DataFrame, nodes: DataFrame, largest: int = 9) -> DataFrame:
@@ -142,6 +200,6 @@ def islands(edges: DataFrame, nodes: DataFrame, largest: int = 9) -> DataFrame:
     part = connected_components(edges)
     part = nodes.select("node").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     size = materialize(part.groupBy("component").agg(F.count("*").alias("size")))
-    most = size.agg(F.max("size").alias("most"))
-    small = size.crossJoin(F.broadcast(most)).filter(f"size between 2 and {largest} and size < most").drop("most")
+    most = size.agg(F.max("size")).first()[0] or 0
+    small = size.filter(f"size between 2 and {largest} and size < {most}")
     return part.join(small, "component").select("node", "component", "size")

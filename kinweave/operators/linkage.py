@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from kinweave.functions.text import jaro_winkler
+from kinweave.operators.graph import connected_components
 from kinweave.session import materialize
 
 
@@ -74,30 +75,56 @@ def category(score: Column) -> Column:
     return F.when(score >= 0.85, "strong").when(score >= 0.65, "probable").otherwise("weak")
 
 
-def assign_one_to_one(pairs: DataFrame, score: str = "score", main_id: str = "main_id", compare_id: str = "compare_id", max_rounds: int = 100) -> DataFrame:
+def assign_one_to_one(pairs: DataFrame, score: str = "score", main_id: str = "main_id", compare_id: str = "compare_id", rounds: int = 12) -> DataFrame:
     """Greedy assignment by score: equal to walking down the list sorted by score, then ids.
 
-    Rounds keep the pairs that are best for both ends and drop what touches them; with a strict
-    total order that is the sequential result. Each round shrinks the list and is written to
-    the shared folder.
+    A round keeps the pairs that are best for both ends (two aggregates, no sort) and drops what touches them; with a
+    strict total order that is the sequential result. Chains of falling scores settle a pair a round, so what is
+    left after ``rounds`` is walked down component by component, in one task each, while no component is larger
+    than ``WALK_ROWS`` pairs; larger ones go on in rounds until they are done. Null scores and ids are left out.
     """
-    order = [F.desc(score), F.asc(main_id), F.asc(compare_id)]
-    left, chosen = materialize(pairs), []
-    for _ in range(max_rounds):
-        ranked = left.withColumn("__m", F.row_number().over(Window.partitionBy(main_id).orderBy(*order))).withColumn(
-            "__c", F.row_number().over(Window.partitionBy(compare_id).orderBy(*order))
-        )
-        best = materialize(ranked.filter("__m = 1 and __c = 1").drop("__m", "__c"))
-        if best.isEmpty():
+    left, chosen, done = materialize(pairs.filter(F.col(score).isNotNull() & F.col(main_id).isNotNull() & F.col(compare_id).isNotNull())), [], 0
+    while not left.isEmpty():
+        if done >= rounds and (walked := _walked(left, score, main_id, compare_id)) is not None:
+            chosen.append(walked)
             break
-        chosen.append(best)
-        left = materialize(left.join(best.select(main_id), main_id, "left_anti").join(best.select(compare_id), compare_id, "left_anti"))
-    else:
-        raise RuntimeError(f"the assignment is not settled after {max_rounds} rounds")
+        order = F.struct((-F.col(score)).alias("__s"), F.col(main_id).alias("__m"), F.col(compare_id).alias("__c"))
+        by_main = left.groupBy(F.col(main_id).alias("__m")).agg(F.min(order)["__c"].alias("__c"))
+        by_compare = left.groupBy(F.col(compare_id).alias("__c")).agg(F.min(order)["__m"].alias("__m"))
+        mutual = materialize(by_main.join(by_compare, ["__m", "__c"]))
+        chosen.append(materialize(left.join(mutual, (F.col(main_id) == F.col("__m")) & (F.col(compare_id) == F.col("__c"))).drop("__m", "__c")))
+        left = left.join(mutual.select(F.col("__m").alias(main_id)), main_id, "left_anti").join(mutual.select(F.col("__c").alias(compare_id)), compare_id, "left_anti")
+        left, done = materialize(left.select(*pairs.columns)), done + 1
     out = chosen[0] if chosen else left
     for c in chosen[1:]:
         out = out.unionByName(c)
-    return out
+    return out.select(*pairs.columns)
+
+
+#: Pairs of a component that one task walks down at most.
+WALK_ROWS = 200_000
+
+
+def _walked(left: DataFrame, score: str, main_id: str, compare_id: str) -> DataFrame | None:
+    """The greedy walk within each component of the pairs left; nothing if a component is too large for a task."""
+    ends = left.select(F.concat(F.lit("m"), F.col(main_id).cast("string")).alias("src"), F.concat(F.lit("c"), F.col(compare_id).cast("string")).alias("dst"))
+    part = connected_components(ends).select(F.col("node").alias("__n"), F.col("component").alias("__p"))
+    rows = materialize(left.join(part, F.concat(F.lit("m"), F.col(main_id).cast("string")) == F.col("__n")).drop("__n"))
+    if (rows.groupBy("__p").count().agg(F.max("count")).first()[0] or 0) > WALK_ROWS:
+        return None
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([score, main_id, compare_id], ascending=[False, True, True])
+        mains, compares, keep = set(), set(), []
+        for m, c in zip(frame[main_id], frame[compare_id], strict=True):
+            free = m not in mains and c not in compares
+            keep.append(free)
+            if free:
+                mains.add(m)
+                compares.add(c)
+        return frame[keep].drop(columns="__p")
+
+    return materialize(rows.groupBy("__p").applyInPandas(walk, left.schema))
 
 
 def unique_key_match(main: DataFrame, compare: DataFrame, key: str, main_id: str = "id", compare_id: str = "id") -> DataFrame:
@@ -110,20 +137,22 @@ def unique_key_match(main: DataFrame, compare: DataFrame, key: str, main_id: str
     return once(main, main_id, "main_id").join(once(compare, compare_id, "compare_id"), "k").select("main_id", "compare_id")
 
 
-def relationship_links(candidates: DataFrame, parents: DataFrame, min_score: float = 85.0, votes: int = 2) -> DataFrame:
-    """(main_id, compare_id, votes): parents of ``votes`` or more confident child pairs in the same role.
+def child_votes(candidates: DataFrame, parents: DataFrame, min_score: float = 85.0) -> DataFrame:
+    """(main_id, compare_id, votes): pairs of parents in one role and their confidently matched children.
 
-    ``candidates``: main_id, compare_id, score; ``parents``: child, parent, role.
+    ``candidates``: main_id, compare_id, score; ``parents``: child, parent, role. Pairs meet on a matched child, so
+    the work follows the matches.
     """
     sure = candidates.filter(F.col("score") >= min_score)
     a = parents.select(F.col("child").alias("main_id"), F.col("parent").alias("pm"), "role")
     b = parents.select(F.col("child").alias("compare_id"), F.col("parent").alias("pc"), F.col("role").alias("role_c"))
     found = sure.join(a, "main_id").join(b, "compare_id").filter("role = role_c and pm != pc")
-    return (
-        found.groupBy(F.col("pm").alias("main_id"), F.col("pc").alias("compare_id"))
-        .agg(F.countDistinct("main_id").alias("votes"))
-        .filter(F.col("votes") >= votes)
-    )
+    return found.groupBy(F.col("pm").alias("main_id"), F.col("pc").alias("compare_id")).agg(F.countDistinct("main_id").alias("votes"))
+
+
+def shared_children(candidates: DataFrame, parents: DataFrame, min_score: float = 85.0, votes: int = 2) -> DataFrame:
+    """(main_id, compare_id, votes): parents of ``votes`` or more matched children, one to one, most votes first."""
+    return assign_one_to_one(child_votes(candidates, parents, min_score).filter(F.col("votes") >= votes), "votes")
 
 
 def relative_boost(candidates: DataFrame, relatives: DataFrame, min_score: float = 85.0) -> DataFrame:

@@ -82,7 +82,7 @@ def bfs_distance(spark, d):
 
 
 def kinship_sets(spark, d):
-    return graph.closure(_tree(spark, d), table(spark, d, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node")))
+    return graph.closure(_tree(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("node")))
 
 
 def descendants(spark, d):
@@ -110,7 +110,7 @@ def shortest_path(spark, d):
 
 def kinship_label(spark, d):
     t = _tree(spark, d)
-    people = table(spark, d, "customer").filter("c_custkey <= 60").select(F.col("c_custkey").alias("node"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
     up = graph.closure(t, people)
     home = up.filter("start = 20").select("node", F.col("generation").alias("hg"))
     both = up.join(home, "node").groupBy("start").agg(F.min_by(F.struct("hg", "generation"), F.struct(F.col("hg") + F.col("generation"), F.col("node"))).alias("m"))
@@ -123,7 +123,7 @@ def kinship_label(spark, d):
     return both.select(F.col("start").alias("person"), label.alias("label"))
 
 
-UP = "recursive up as (select c_custkey as start, c_custkey as node, 0 as generation from customer where c_custkey <= 60 union all select start, node // 2, generation + 1 from up where node > 1)"
+UP = "recursive up as (select c_custkey as start, c_custkey as node, 0 as generation from customer union all select start, node // 2, generation + 1 from up where node > 1)"
 LABEL = f"""with {UP}, b as (select u.start, h.generation as hg, u.generation as tg from up u join up h on u.node = h.node and h.start = 20),
 m as (select *, row_number() over (partition by start order by hg + tg) as k from b)
 select start as person, case when hg = 0 and tg = 0 then 'self' when tg = 0 then 'ancestor ' || hg when hg = 0 then 'descendant ' || tg when hg = 1 and tg = 1 then 'sibling' when hg = 1 then 'nephew or niece'
@@ -162,7 +162,22 @@ def redact(spark, d):
 
 
 def link_keys(spark, d):
-    return table(spark, d, "pages").select("page_id", link_key(F.col("url")).alias("key"))
+    k = F.col("page_id")
+    n = k.cast("string")
+    # beside the pages' own addresses those of sites with rules of their own
+    url = (
+        F.when(k % 6 == 1, F.concat(F.lit("http://Data.Matricula-Online.eu/sl/slovenia/"), n, F.lit("//")))
+        .when(k % 6 == 2, F.concat(F.lit("https://familysearch.org/ark:/61903/1:1:AB"), n, F.lit("?view=explore&cat="), n, F.lit("&lang=en")))
+        .when(k % 6 == 3, F.concat(F.lit("https://youtu.be/aB"), n))
+        .when(k % 6 == 4, F.concat(F.lit(" https://www.geneanet.org/cimetieres/view/"), n, F.lit("/")))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, d, "pages").select("page_id", link_key(url).alias("key"))
+
+
+LINK_KEY = """select page_id, case page_id % 6 when 1 then 'https://data.matricula-online.eu/xx/slovenia/' || page_id when 2 then 'https://www.familysearch.org/ark:/61903/1:1:ab' || page_id || '?cat=' || page_id
+    when 3 then 'https://youtu.be/ab' || page_id || '#id=aB' || page_id when 4 then 'https://xx.geneanet.org/cemetery/view/' || page_id
+    else regexp_replace(regexp_replace(lower(trim(url)), '^http://', 'https://'), '/+$', '') end as key from pages"""
 
 
 def titles(spark, d):
@@ -183,7 +198,7 @@ def presumed_living(spark, d):
 def importable_counts(spark, d):
     t = _tree(spark, d)
     matched = table(spark, d, "customer").filter("c_custkey % 7 = 0")
-    up = graph.closure(t, matched.filter("c_custkey % 70 = 0").select(F.col("c_custkey").alias("node")))
+    up = graph.closure(t, matched.select(F.col("c_custkey").alias("node")))
     free = up.join(matched.select(F.col("c_custkey").alias("node")), "node", "left_anti")
     return free.groupBy("start").agg(F.count("*").alias("ancestors"))
 
@@ -198,11 +213,12 @@ QUERIES = {
     "branch_export": (branch, """with c as (select c_custkey as id from customer where c_nationkey = 3) select cast(o_orderdate as date) as family, count(distinct o_custkey) as members from orders where o_custkey in (select id from c) group by 1 having count(distinct o_custkey) >= 2"""),
     "bfs_distance": (bfs_distance, """with recursive t as (select c_custkey as child, c_custkey // 2 as parent from customer where c_custkey > 1), e as (select child as src, parent as dst from t union all select parent, child from t),
         b as (select 5::bigint as node, 0 as distance union select e.dst, b.distance + 1 from b join e on e.src = b.node where b.distance < 30) select node, min(distance) as distance from b group by 1"""),
-    "kinship_sets": (kinship_sets, f"with {CUST_UP.format(w='c_custkey % 50 = 0')} select start, node, generation from up"),
+    "kinship_sets": (kinship_sets, f"with {CUST_UP.format(w='true')} select start, node, generation from up"),
     "descendants": (descendants, "with recursive d as (select 3::bigint as node, 0 as generation union all select c_custkey, generation + 1 from d join customer on c_custkey // 2 = node and c_custkey > 1) select node, generation from d"),
     "branch_ids": (branch_ids, "with recursive d as (select 2::bigint as node, 0 as generation union all select c_custkey, generation + 1 from d join customer on c_custkey // 2 = node and c_custkey > 1 where generation < 4) select node, generation from d"),
     "ahnentafel": (ahnentafel, "select c_custkey as number, c_custkey as node, cast(floor(log2(c_custkey)) as int) as generation from customer where c_custkey >= 1"),
-    "shortest_path": (shortest_path, "select * from (values (0, 9), (1, 4), (2, 2), (3, 1), (4, 3), (5, 7), (6, 14)) as t(step, node)"),
+    "shortest_path": (shortest_path, """with recursive u as (select 9::bigint as n, 0 as g union all select n // 2, g + 1 from u where n > 1), v as (select 14::bigint as n, 0 as g union all select n // 2, g + 1 from v where n > 1),
+        top as (select u.g as ug, v.g as vg from u join v using (n) order by u.g + v.g limit 1) select cast(g as int) as step, n as node from u, top where g <= ug union all select cast(ug + vg - g as int), n from v, top where g < vg"""),
     "kinship_label": (kinship_label, LABEL),
     "line_sides": (line_sides, None),
     "pedigree_loops": (pedigree_loops, None),
@@ -210,9 +226,9 @@ QUERIES = {
         select c_custkey, case when declared > 0 then 'declared' when last < timestamp '1999-01-01' then 'deceased' when last >= timestamp '2000-01-01' then 'recent' when last is not null then 'birth' else 'unknown' end as reason from customer left join o on c_custkey = o_custkey"""),
     "redact": (redact, """with r as (select doc_id, text, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[mail]', 'g'), '\\b[0-9]{1,3}(\\.[0-9]{1,3}){3}\\b', '[ip]', 'g') as t from documents where text is not null)
         select doc_id, sha256(t) as redacted from r where t <> text"""),
-    "link_key": (link_keys, """select page_id, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://', '')), '^(www|m)\\.', ''), '/+$', '') as key from pages"""),
+    "link_key": (link_keys, LINK_KEY),
     "page_title": (titles, "select page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), '') as title from pages"),
     "normalize_report": (normalize_report, "with w as (select unnest(string_split(p_name, ' ')) as word from part), s as (select word, upper(left(word, 1)) || lower(substr(word, 2)) as t from w) select word as \"from\", t as \"to\", count(*) as n from s where word <> t group by 1, 2"),
     "presumed_living": (presumed_living, None),
-    "importable_counts": (importable_counts, f"with {CUST_UP.format(w='c_custkey % 70 = 0')} select start, count(*) as ancestors from up where node % 7 <> 0 group by 1"),
+    "importable_counts": (importable_counts, f"with {CUST_UP.format(w='c_custkey % 7 = 0')} select start, count(*) as ancestors from up where node % 7 <> 0 group by 1"),
 }

@@ -33,7 +33,9 @@ def detect_layout(spark, d):
 
 
 def home_country(spark, d):
-    return profile.majority(table(spark, d, "documents"), "source", "lang", "doc_id", share=0.5).select("source", "lang", "n", F.round("share", 6).alias("share"))
+    # events of a user by type and value range: the group, its distinct units and their vote
+    c = table(spark, d, "customer").withColumn("bucket", F.col("c_custkey") % 97).withColumn("vote", F.when(F.col("c_custkey") % 5 != 0, F.col("bucket") % 25).otherwise(F.col("c_nationkey")))
+    return profile.majority(c, "bucket", "vote", "c_custkey").select("bucket", "vote", "n", F.round("share", 6).alias("share"))
 
 
 def estimate_birth(spark, d):
@@ -73,8 +75,10 @@ def grid_cluster(spark, d):
 
 
 def coord_conflicts(spark, d):
-    s = _points(spark, d).filter("o_orderkey % 50 = 0").select(F.concat("o_orderstatus", F.lit("-"), F.col("year")).alias("place"), "lat", "lon")
-    return places.coord_conflicts(s, "place", "lat", "lon", 2.0)
+    k = F.col("o_orderkey")
+    lat = (F.col("o_custkey") % 1400) / 10 - 70 + F.when(k % 3 == 0, 0.0004).when(k % 3 == 1, 0.0008).otherwise(0.0)
+    s = table(spark, d, "orders").select(F.concat("o_orderpriority", F.lit("-"), F.col("o_custkey") % 5000).alias("place"), lat.alias("lat"), F.lit(14.5).alias("lon"))
+    return places.coord_conflicts(s, "place", "lat", "lon").select("place", "spot", F.round("lat", 6).alias("lat"), "n")
 
 
 def coord_fill(spark, d):
@@ -104,9 +108,10 @@ def parse_coord(spark, d):
 
 
 def nearest_register(spark, d):
-    p = _points(spark, d).filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("key"), "lat", "lon")
-    e = _points(spark, d).filter("o_orderkey % 500 = 1").select(F.col("o_orderkey").alias("entry"), F.col("o_orderstatus").alias("key"), F.col("lat").alias("elat"), F.col("lon").alias("elon"))
-    return places.nearest(p, e, "key").select("id", F.round("km", 4).alias("km"))
+    p = _points(spark, d)
+    q = p.filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("key"), "lat", "lon")
+    e = p.select(F.col("o_orderkey").alias("entry"), F.col("o_orderstatus").alias("key"), (F.col("lat") * 0.9 + 3).alias("elat"), (F.col("lon") * 0.7 + 11).alias("elon"))
+    return places.nearest(q, e, "key").select("id", F.round("km", 4).alias("km"))
 
 
 def person_paths(spark, d):
@@ -136,11 +141,21 @@ def parallel_families(spark, d):
     return a.join(b, "c").filter(inside).select(F.col("c").alias("o_custkey"), "status_a", "status_b")
 
 
+def _partial(day, qualifier, has_month, has_day, end=None):
+    """A partial date of a timestamp; parts that are switched off are null."""
+    none = F.lit(None).cast("int")
+    return F.struct(
+        F.lit(None).cast("string").alias("raw"), qualifier.alias("qualifier"), F.year(day).alias("year"),
+        F.when(has_month, F.month(day)).alias("month"), F.when(has_month & has_day, F.dayofmonth(day)).alias("day"),
+        (none if end is None else F.when(qualifier.isin("between", "range"), F.year(day) + end)).cast("int").alias("year2"), none.alias("month2"), none.alias("day2"),
+    )
+
+
 def date_sort_key(spark, d):
-    o = table(spark, d, "orders")
-    q = F.when(F.col("o_orderkey") % 5 == 0, "before").when(F.col("o_orderkey") % 5 == 1, "after")
-    month = F.when(F.col("o_orderkey") % 3 != 0, F.month("o_orderdate"))
-    return o.select("o_orderkey", dates.sort_key(F.year("o_orderdate"), month, F.when(F.col("o_orderkey") % 2 == 0, F.dayofmonth("o_orderdate")), q).cast("long").alias("sort_key"))
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    q = F.when(k % 5 == 0, "before").when(k % 5 == 1, "after").when(k % 7 == 2, "range").otherwise("exact")
+    o = o.withColumn("d", F.when(k % 11 != 0, _partial(F.col("o_orderdate"), q, k % 3 != 0, k % 2 == 0, 2)))
+    return o.select("o_orderkey", dates.sort_key(F.col("d")).cast("long").alias("sort_key"))
 
 
 def _date_pairs(spark, d):
@@ -150,8 +165,13 @@ def _date_pairs(spark, d):
 
 
 def date_similarity(spark, d):
-    o, parts = _date_pairs(spark, d)
-    return o.select("o_orderkey", F.round(dates.date_similarity(*parts), 9).alias("similarity"))
+    o, _ = _date_pairs(spark, d)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    qa = F.when(k % 6 == 1, "about").when(k % 6 == 2, "before").when(k % 6 == 3, "between").otherwise("exact")
+    qb = F.when(c % 5 == 1, "about").when(c % 5 == 2, "after").otherwise("exact")
+    a = _partial(F.add_months(F.to_date("prev"), -12 * (k % 9).cast("int")), qa, k % 4 != 0, k % 8 != 1, 1)
+    b = _partial(F.to_date("o_orderdate"), qb, c % 4 != 0, c % 7 != 1, 1)
+    return o.select("o_orderkey", F.round(dates.date_similarity(a, b), 9).alias("similarity"))
 
 
 def age_between(spark, d):
@@ -302,15 +322,27 @@ def relationship_count(spark, d):
 
 
 def infer_sex(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_returnflag").alias("k"), F.min("l_returnflag").alias("role"))
-    return li.filter("k = 1").select("l_partkey", "role")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_linestatus").alias("k"), F.min("l_linestatus").alias("role"))
+    return li.filter("k = 1").select("l_orderkey", "role")
 
 
 def yearly(spark, d):
     return table(spark, d, "orders").agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"), F.count_if(F.col("o_totalprice") > 100000).alias("covered"))
 
 
-SIM = "case when y1 = y2 and m1 = m2 and d1 = d2 then 1.0 when y1 = y2 and m1 = m2 then 0.9 when y1 = y2 then 0.55 when abs(y1 - y2) < 4 then 0.55 * (1 - abs(y1 - y2) / 4.0) else 0.0 end"
+SIM = """with q as (select o_orderkey as k, o_custkey as c, cast(o_orderdate as date) as b, cast(lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as date) as a from orders),
+p as (select k, c, (a - to_months(12 * (k % 9)::int))::date as a, b from q where a is not null),
+r as (select k, case k % 6 when 1 then 'about' when 2 then 'before' when 3 then 'between' else 'exact' end as qa, case c % 5 when 1 then 'about' when 2 then 'after' else 'exact' end as qb,
+  year(a) as ya, case when k % 4 <> 0 then month(a) end as ma, case when k % 4 <> 0 and k % 8 <> 1 then day(a) end as da,
+  year(b) as yb, case when c % 4 <> 0 then month(b) end as mb, case when c % 4 <> 0 and c % 7 <> 1 then day(b) end as db from p),
+t as (select *, case when qa = 'before' then -9999999 else ya end as la, case when qa = 'between' then ya + 1 else ya end as ha,
+  yb as lb, case when qb = 'after' then 9999999 else yb end as hb, abs(ya - yb) as gap, case when qa <> 'exact' or qb <> 'exact' then 10 else 4 end as tol from r)
+select k as o_orderkey, round(cast(case
+  when (qa in ('before', 'between') or qb = 'after') and la <= hb and lb <= ha then 0.9
+  when (qa in ('before', 'between') or qb = 'after') then case when (case when la > hb then la - hb else lb - ha end) > 10 then 0 else 1 - (case when la > hb then la - hb else lb - ha end) / 11.0 end
+  when gap > tol then 0 when gap > 0 then 1 - gap / (tol + 1.0)
+  when ma <> mb then 0.55 when da <> db then 0.9
+  when qa = 'exact' and qb = 'exact' and da is not null and db is not null then 1.0 else 0.9 end as double), 9) as similarity from t"""
 PREV = "q as (select o_orderkey, o_orderdate as b, lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as a from orders), p as (select o_orderkey, year(a) as y1, month(a) as m1, day(a) as d1, year(b) as y2, month(b) as m2, day(b) as d2 from q where a is not null)"
 
 QUERIES = {
@@ -320,8 +352,9 @@ QUERIES = {
         select key, canonical, n, spellings from c join k using (key) qualify row_number() over (partition by key order by n desc, f) = 1"""),
     "detect_layout": (detect_layout, """with r as (select source, avg(contains(text, '|')::int) as piped, avg(contains(text, '!!')::int) as shouted, avg((len(string_split(text, chr(10))) > 3)::int) as lined from documents where text is not null group by 1)
         select source, case when piped > 0.3 then 'list' when shouted > 0.15 and lined > 0.4 then 'loud' when lined > 0.4 then 'lines' else 'plain' end as layout from r"""),
-    "home_country": (home_country, """with c as (select source, lang, count(distinct doc_id) as n from documents group by 1, 2), t as (select *, n / sum(n) over (partition by source) as share from c)
-        select source, lang, n, round(share, 6) as share from t where share >= 0.5 and n >= 2"""),
+    "home_country": (home_country, """with v as (select c_custkey % 97 as bucket, c_custkey, case when c_custkey % 5 <> 0 then c_custkey % 97 % 25 else c_nationkey end as vote from customer),
+        c as (select bucket, vote, count(distinct c_custkey) as n from v group by 1, 2), t as (select *, n / sum(n) over (partition by bucket) as share from c)
+        select bucket, vote, n, round(share, 6) as share from t where share >= 0.75 and n >= 2"""),
     "estimate_birth": (estimate_birth, "select l_orderkey, list_sort(list(year(l_shipdate)))[(count(*) // 2 + 1)::int] as estimate from lineitem group by 1"),
     "best_estimate": (best_estimate, "select l_orderkey, l_linenumber as line, year(l_shipdate) as estimate from lineitem qualify row_number() over (partition by l_orderkey order by l_shipdate desc, l_linenumber) = 1"),
     "content_duplicates": (content_duplicates, """with t as (select doc_id, text, coalesce(c, 0) as c from documents left join (select doc_id, count(*) as c from labels group by 1) using (doc_id) where text is not null)
@@ -334,7 +367,9 @@ QUERIES = {
     "haversine": (haversine, f"with {POINTS} select o_orderkey, round(2 * 6371 * asin(sqrt(least(1, power(sin(radians(46.05 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(46.05)) * power(sin(radians(14.5 - lon) / 2), 2)))), 5) as km from p"),
     "web_mercator": (web_mercator, f"with {POINTS} select o_orderkey, round((lon + 180) / 360 * 4096, 5) as x, round((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * 3.141592653589793)) * 4096, 5) as y from p"),
     "parse_coord": (parse_coord, "select s_suppkey, (case when s_suppkey % 2 = 0 then 1 else -1 end) * cast((s_suppkey % 90) || '.' || (s_suppkey % 7) as double) as degrees from supplier"),
-    "nearest_register": (nearest_register, f"with {POINTS}, e as (select o_orderstatus as key, lat as elat, lon as elon from p where o_orderkey % 500 = 1) select o_orderkey as id, round(min(2 * 6371 * asin(sqrt(least(1, power(sin(radians(elat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(elat)) * power(sin(radians(elon - lon) / 2), 2))))), 4) as km from p join e on key = o_orderstatus where o_orderkey % 20 = 0 group by 1"),
+    "nearest_register": (nearest_register, f"""with {POINTS}, e as (select distinct o_orderstatus as key, lat * 0.9 + 3 as elat, lon * 0.7 + 11 as elon from p), q as (select * from p where o_orderkey % 20 = 0)
+        select o_orderkey as id, round(min(2 * 6371 * asin(sqrt(least(1, power(sin(radians(elat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(elat)) * power(sin(radians(elon - lon) / 2), 2))))), 4) as km
+        from q join e on key = o_orderstatus group by 1"""),
     "person_paths": (person_paths, """with e as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as last from events), k as (select * from e where last is null or last <> event_type),
         c as (select *, count(*) over (partition by user_id) as stops from k) select user_id, event_type, cast(row_number() over (partition by user_id order by ts, event_id) as int) as stop from c where stops >= 2"""),
     "pick_survivor": (pick_survivor, "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1"),
@@ -343,9 +378,11 @@ QUERIES = {
     "parallel_families": (parallel_families, """with r as (select o_custkey, o_orderstatus as s, min(o_orderdate) as lo, max(o_orderdate) as hi from orders group by 1, 2)
         select a.o_custkey, a.s as status_a, b.s as status_b from r a join r b on a.o_custkey = b.o_custkey and a.s <> b.s
         where cast(b.lo as timestamp) >= cast(cast(a.lo as date) + interval 9 month as timestamp) and cast(b.hi as timestamp) <= cast(cast(a.hi as date) - interval 9 month as timestamp) and date_diff('day', cast(a.lo as date), cast(a.hi as date)) >= 548"""),
-    "date_sort_key": (date_sort_key, """with o as (select o_orderkey as k, year(o_orderdate) as y, case when o_orderkey % 3 <> 0 then month(o_orderdate) end as m, case when o_orderkey % 2 = 0 then day(o_orderdate) end as dd from orders)
-        select k as o_orderkey, cast(y * 10000 + coalesce(m, 0) * 100 + coalesce(dd, 0) + case when k % 5 = 0 then -1 when k % 5 = 1 then 9999 when m is null then 9000 when dd is null then 50 else 0 end as bigint) as sort_key from o"""),
-    "date_similarity": (date_similarity, f"with {PREV} select o_orderkey, round({SIM}, 9) as similarity from p"),
+    "date_sort_key": (date_sort_key, """with o as (select o_orderkey as k, case when o_orderkey % 11 <> 0 then year(o_orderdate) end as y, case when o_orderkey % 3 <> 0 then month(o_orderdate) end as m,
+          case when o_orderkey % 3 <> 0 and o_orderkey % 2 = 0 then day(o_orderdate) end as dd from orders)
+        select k as o_orderkey, cast(case when y is null then 9999999 when k % 5 = 0 then y * 10000 - 1 when k % 5 = 1 then y * 10000 + 9999 when k % 7 = 2 then (y + 2) * 10000 + 9000
+          when m is null then y * 10000 + 9000 when dd is null then y * 10000 + m * 100 + 50 else y * 10000 + m * 100 + dd end as bigint) as sort_key from o"""),
+    "date_similarity": (date_similarity, SIM),
     "age_between": (age_between, f"with {PREV} select o_orderkey, cast(y2 - y1 - (case when m2 < m1 or (m2 = m1 and d2 < d1) then 1 else 0 end) as int) as age from p"),
     "parse_date": (parse_date, "select o_orderkey, case when o_orderkey % 3 = 0 then 'about' else 'exact' end as qualifier, year(o_orderdate) as year, month(o_orderdate) as month, day(o_orderdate) as day from orders"),
     "place_tree": (place_tree, PLACE_TREE),
@@ -374,6 +411,6 @@ QUERIES = {
     "link_diff": (link_diff, """with c as (select l_orderkey, list_distinct(list(l_returnflag)) as a, list_distinct(list(l_linestatus)) as b from lineitem group by 1)
         select l_orderkey, cast(len(list_filter(a, lambda x: not list_contains(b, x))) as int) as only_a, cast(len(list_distinct(list_concat(a, b))) as int) as either from c"""),
     "relationship_count": (relationship_count, "select l_suppkey, count(distinct l_partkey) as relatives from lineitem group by 1"),
-    "infer_sex": (infer_sex, "select l_partkey, min(l_returnflag) as role from lineitem group by 1 having count(distinct l_returnflag) = 1"),
+    "infer_sex": (infer_sex, "select l_orderkey, min(l_linestatus) as role from lineitem group by 1 having count(distinct l_linestatus) = 1"),
     "year_range": (yearly, "select min(year(o_orderdate)) as first_year, max(year(o_orderdate)) as last_year, count(*) filter (o_totalprice > 100000) as covered from orders"),
 }

@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is made only where the cluster names none."""
+    """The folder all executors share. A temporary one is made only for a local master that names none; on a cluster
+    such a folder could not be read by the executors, so that is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.conf.get(CHECKPOINT_DIR, None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinweave-checkpoint-"))
     return jsc.getCheckpointDir().get()
 

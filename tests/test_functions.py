@@ -43,10 +43,61 @@ def test_parse_date(text, want):
 def test_date_columns(spark):
     df = spark.createDataFrame([("12 JAN 1850",), (None,), ("ABT 1851",)], "t string").withColumn("p", dates.parse_date(2024)("t"))
     assert [r.p.year if r.p else None for r in df.collect()] == [1850, None, 1851]
-    d = spark.createDataFrame([(1850, 1, 12, 1850, 1, 12), (1850, 1, 1, 1850, 1, 2), (1850, 1, 1, 1850, 2, 2), (1850, None, None, 1850, None, None), (1850, 1, 1, 1852, 1, 1), (1850, 1, 1, 1900, 1, 1), (0, 1, 1, 1900, 1, 1)], "a int, b int, c int, d int, e int, f int")
-    cols = [F.col(c) for c in "abcdef"]
-    assert [r[0] for r in d.select(dates.date_similarity(*cols)).collect()] == [1.0, 0.9, 0.55, 0.8, 0.275, 0.0, None]
-    assert [r[0] for r in d.select(dates.age_between(*cols)).collect()] == [0, 0, 0, 0, 2, 50, None]
+    d = spark.createDataFrame([(1850, 1, 12, 1850, 1, 12), (1850, 1, 1, 1850, 1, 2), (1850, 1, 1, 1850, 2, 2), (1850, None, None, 1850, None, None), (1850, 1, 1, 1852, 1, 1), (1850, 1, 1, 1900, 1, 1), (None, 1, 1, 1900, 1, 1)], "a int, b int, c int, d int, e int, f int")
+    assert [r[0] for r in d.select(dates.age_between(*[F.col(c) for c in "abcdef"])).collect()] == [0, 0, 0, 0, 2, 50, None]
+
+
+SIMILAR = [
+    ("12 JAN 1850", "12 JAN 1850", 1.0), ("12 JAN 1850", "13 JAN 1850", 0.9), ("12 JAN 1850", "12 FEB 1850", 0.55), ("1850", "1850", 0.9), ("12 JAN 1850", "1850", 0.9),
+    ("ABT 12 JAN 1850", "12 JAN 1850", 0.9), ("1850", "1851", 0.8), ("1850", "1854", 0.2), ("1850", "1855", 0.0), ("ABT 1850", "1855", 1 - 5 / 11), ("ABT 1850", "1860", 1 / 11), ("ABT 1850", "1861", 0.0),
+    ("BEF 1900", "1700", 0.9), ("BEF 1900", "1903", 1 - 3 / 11), ("AFT 1900", "1890", 1 / 11), ("AFT 1900", "1889", 0.0), ("BET 1800 AND 1810", "1805", 0.9), ("BET 1810 AND 1800", "1812", 1 - 2 / 11), ("unknown", "1850", None), (None, "1850", None),
+]
+SORTED = [
+    ("BEF 3 MAY 1900", 18999999), ("AFT 3 MAY 1900", 19009999), ("3 MAY 1900", 19000503), ("MAY 1900", 19000550), ("1900", 19009000), ("FROM 1900 TO 1905", 19059000),
+    ("BET 1900 AND 1905", 19009000), ("unknown", 9999999), (None, 9999999),
+]
+REFINES = [
+    ("1949", "12 MAR 1949", True), ("12 MAR 1949", "1949", False), ("MAR 1949", "12 APR 1949", False), ("ABT 1949", "1949", True), ("1949", "1949", False), ("FROM 1949 TO 1950", "12 MAR 1949", False), ("1948", "12 MAR 1949", False),
+]
+
+
+def test_date_rules_by_hand(spark):
+    def parsed(rows):
+        df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")
+        return df.withColumns({"x": dates.parse_date(2024)("a"), "y": dates.parse_date(2024)("b")}).orderBy("i")
+
+    got = [r[0] for r in parsed(SIMILAR).select(dates.date_similarity(F.col("x"), F.col("y"))).collect()]
+    assert got == [pytest.approx(v) if v is not None else None for *_, v in SIMILAR]
+    assert got == [r[0] for r in parsed([(b, a, v) for a, b, v in SIMILAR]).select(dates.date_similarity(F.col("x"), F.col("y"))).collect()]
+    assert [r[0] for r in parsed([(a, None, v) for a, v in SORTED]).select(dates.sort_key(F.col("x"))).collect()] == [v for _, v in SORTED]
+    assert [r[0] for r in parsed(REFINES).select(dates.refines(F.col("x"), F.col("y"))).collect()] == [v for *_, v in REFINES]
+    keys = [r[0] for r in parsed([("Abt. 1900", None, 0), ("ABT 1900", None, 0), ("odd  Text", None, 0)]).select(dates.compare_key(F.col("x"), F.lower("a"))).collect()]
+    assert keys[0] == keys[1] and keys[2] == "oddtext"
+    spans = [(1817, 1921, True, "1817–1921"), (1817, None, True, "1817–"), (1817, None, False, "1817"), (None, 1921, True, "–1921"), (None, None, False, "")]
+    df = spark.createDataFrame(spans, "b int, d int, x boolean, w string")
+    assert all(r[0] == r[1] for r in df.select(dates.lifespan(F.col("b"), F.col("d"), F.col("x")), "w").collect())
+
+
+def test_jaro_keeps_half_transpositions():
+    # six letters match, three of them stand elsewhere: one and a half transpositions
+    assert jaro_winkler_value("xabcyz", "xbcayz") == pytest.approx((lambda j: j + 0.1 * (1 - j))((1 + 1 + (6 - 1.5) / 6) / 3))
+
+
+def test_placeholders_and_links(spark):
+    from kinweave.functions.links import link_key, parish_lang, with_parish_lang
+
+    words = [("privat", True), ("ime", True), ("j", True), ("n. n.", True), ("?", True), ("neznano", True), ("ana", False), ("ana n", False)]
+    df = spark.createDataFrame(words, "t string, w boolean")
+    assert all(r[0] == r[1] for r in df.select(is_placeholder("t"), "w").collect())
+    urls = [
+        ("http://Site.org/a/", "https://site.org/a"), ("https://site.org/a?id=1", "https://site.org/a?id=1"), (" https://site.org/a?id=2/ ", "https://site.org/a?id=2"),
+        ("https://data.matricula-online.eu/sl/slovenia/x/", "https://data.matricula-online.eu/xx/slovenia/x"), ("https://de.geneanet.org/friedhof/view/7", "https://xx.geneanet.org/cemetery/view/7"),
+        ("https://www.familysearch.org/sl/ark:/61903/1:1:AB-C?lang=en&cat=77&i=3", "https://www.familysearch.org/ark:/61903/1:1:ab-c?cat=77"), ("https://youtu.be/AbC", "https://youtu.be/abc#id=AbC"),
+    ]
+    df = spark.createDataFrame(urls, "u string, w string")
+    assert [r[0] for r in df.select(link_key(F.col("u"))).collect()] == [w for _, w in urls]
+    one = df.limit(1).select(parish_lang(F.lit(urls[3][0])), with_parish_lang(F.lit(urls[3][0]), "de")).first()
+    assert tuple(one) == ("sl", "https://data.matricula-online.eu/de/slovenia/x/")
 
 
 def test_geo(spark):
