@@ -32,6 +32,8 @@ class People:
     edges: DataFrame
     events: DataFrame
     sparse_births: bool = False
+    #: (fam_id) of all family records, those without members too; taken from the edges if not given
+    families: DataFrame | None = None
 
 
 def dated(events: DataFrame, year_now: int = 2024, raw: str = "date") -> DataFrame:
