@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 import __spark_entry__
 from kinweave.llm import url_filters
@@ -21,6 +23,26 @@ PAGES = [
     (10, "https://a.net", None),
     (11, "https://other.org/a", None),
     (12, "https://xexample.com/de/", None),
+    # targets with entities, in the page's folder, on the site, of the page's scheme; nodes that differ by case, port and fragment
+    (20, "https://blog.org/d/e?x=1", '<link rel="canonical" href="f?a=1&amp;b=2">'),
+    (21, "https://blog.org/d/f?a=1&b=2#part", '<link rel="canonical" href="//EXAMPLE.com/de/z">'),
+    (22, "https://Shop.org:443", "<link href='https://b.net/1' rel='canonical'>"),
+    (23, "https://shop.org/#top", None),
+    (24, "https://shop.org/?q", "<link rel='canonical' href='#top'><link rel='canonical' href='mailto:x@b.net'><link rel='stylesheet' href='https://b.net/css'>"),
+    (25, "HTTPS://one.org/a", '<meta http-equiv="Refresh" content="5;URL=https://two.org/A">'),
+    (26, "https://two.org/A", '<link rel="canonical" href="https://c.net/">'),
+    (27, "https://two.org/a", None),
+]
+#: Dot segments, several words in rel, entities of the other kind: beyond the oracle's simpler reading.
+MORE = [
+    (40, "https://deep.org/x/y/z", '<link rel="alternate canonical" href="../../up/./page">'),
+    (41, "https://deep.org/up/page", '<link rel="canonical" href="https&#x3a;//kept.example">'),
+    (42, "https://deep.org/up/gone", '<link rel="canonical" href="?v=2">'),
+    (43, "https://deep.org/up/gone?v=2", '<link rel="canonical" href="https:&#x2F;&#47;d.net/">'),
+    (44, "https://deep.org/up/page?", '<link rel="canonical" href="  https://deep.org/x/y/z  ">'),
+    (45, "https://deep.org/up/sub/", '<link rel="canonical" href="..">'),
+    (46, "https://deep.org/up/", '<link rel="canonical" href="/../../%41">'),
+    (47, "https://deep.org/%41", '<META HTTP-EQUIV=refresh CONTENT="0, https://d.net/">'),
 ]
 
 
@@ -40,7 +62,21 @@ def test_url_filters(spark):
         10: ("a.net", "", None, "allow"),
         11: ("other.org", "/a", None, "block"),
         12: ("xexample.com", "/de/", None, "allow"),
+        20: ("blog.org", "/d/e", None, "block"),
+        21: ("blog.org", "/d/f", None, "block"),
+        22: ("shop.org:443", "", None, "block"),
+        23: ("shop.org", "/", None, "block"),
+        24: ("shop.org", "/", None, "allow"),
+        25: ("one.org", "/a", None, "block"),
+        26: ("two.org", "/A", None, "block"),
+        27: ("two.org", "/a", None, "allow"),
     }
+    duck = pytest.importorskip("duckdb").connect()
+    duck.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    duck.executemany("insert into pages values (?, ?, ?)", PAGES)
+    assert {r[0]: r[1:] for r in duck.execute(url_filters.ORACLE).fetchall()} == got
+    more = spark.createDataFrame(MORE, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filters.judge_urls(more).collect()} == {40: "allow", 41: "allow", 42: "block", 43: "block", 44: "allow", 45: "block", 46: "block", 47: "block"}
     assert url_filters.judge_urls(df.limit(0)).count() == 0
     crawl = spark.createDataFrame([("https://xexample.com/de/", "https://b.net/")], "src string, dst string")
     assert {r.page_id: r.verdict for r in url_filters.judge_urls(df, edges=crawl).collect()}[12] == "block"
