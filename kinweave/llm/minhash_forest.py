@@ -48,7 +48,7 @@ MIN_AGREE = 96
 #: Ids up to this many are sent to every executor when candidates' texts are fetched; beyond, a join.
 BROADCAST_IDS = 1_000_000
 #: Exact join: a shingle is joined if at most so many of its sets are outside its largest component; each round raises it.
-RARE, RAISE = 32, 4
+RARE, RAISE = 64, 32
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 2**64, HASHES, dtype=np.uint64)
