@@ -6,19 +6,21 @@ a sample without replacement proportional to importance is drawn by adding Gumbe
 the log importance and keeping the top k. Noise comes from a hash of id, text and seed, so a
 rerun of a lost task draws the same.
 
-The log importance is divided by the number of n-grams and multiplied by ``LENGTH`` (a document counts
-as so many n-grams), or long documents alone would decide the sample. k is a share of the documents
-that have words (the sampling feature itself).
+The log importance of a document is a sum over its n-grams, so a long document's would be a hundred times
+a short one's, and long documents alone would decide the sample. It is therefore taken as that of ``LENGTH`` n-grams
+of the document: the mean times ``LENGTH``. The noise has the scale of one unit of log importance, as the
+method says; a larger ``LENGTH`` makes the draw sharper. k is a share of the documents that have words (the
+sampling feature itself); without one from the caller it is the share of good ones among the labelled rows.
 
 Scale: counts are summed from one table of ``BUCKETS`` numbers per task and side; the raw model sees
 all documents, the target model at most ``TARGET_ROWS`` labelled rows (a documented bound: those of
 smallest hash of the id). The k-th largest key is found by refining histograms, never by a sort in
-one task, and ties at the boundary are broken by a hash that every row has.
+one task; of rows that tie at the boundary, those of smaller hash are taken, so that k rows are kept exactly.
 
 Defined edge cases: null and empty texts have importance 0, no key, and are not kept; null labels
 count as not good, a document labelled more than once counts by its highest label; without target
-text all documents are equally important; repeated rows draw the same noise and are kept or
-left together; null ids are allowed; extra columns are ignored by ``importance`` and kept
+text all documents are equally important; repeated rows draw the same noise, and if the boundary falls among
+them as many are kept as k allows; a text of any length is read whole; null ids are allowed; extra columns are ignored by ``importance`` and kept
 by ``resample``; an empty table gives none.
 """
 
@@ -35,7 +37,6 @@ from kinweave.session import materialize, table
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
 LENGTH = 400
-KEEP_SHARE = 0.86
 SEED = 17
 SMOOTH = 1.0
 BINS = 4096
@@ -138,22 +139,52 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
     return lo
 
 
-def select_top(rows: DataFrame, share: float = KEEP_SHARE) -> DataFrame:
-    """``rows`` with ``kept``: the top share by Gumbel key among rows that have one."""
+def good_share(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> float:
+    """Share of good documents among the labelled ones, a document counted once by its highest label; 1 without labels."""
+    marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("q"))
+    got = marked.agg(F.avg((F.col("q") > 0).cast("double"))).first()[0]
+    return 1.0 if got is None else got
+
+
+def select_top(rows: DataFrame, share: float) -> DataFrame:
+    """``rows`` with ``kept``: the top share by Gumbel key among rows that have one, exactly so many rows.
+
+    ``rows`` is read several times and must be a written table. Ties go by their hash, then by their place in it.
+    """
     n = rows.filter("gumbel_key is not null").count()
-    k = -(-int(n * share * 1000) // 1000)
+    k = min(n, -(-int(round(n * share * 1e6)) // 10**6))
     least = kth_largest(rows, "gumbel_key", k)
     if least is None:
         return rows.withColumn("kept", F.lit(False))
-    return rows.withColumn("kept", F.coalesce(F.col("gumbel_key") >= least, F.lit(False)))
+    at = F.coalesce(F.col("gumbel_key") == least, F.lit(False))
+    left = k - rows.filter(F.col("gumbel_key") > least).count()
+    if rows.filter(at).count() == left:
+        return rows.withColumn("kept", F.coalesce(F.col("gumbel_key") >= least, F.lit(False)))
+    parts = [rows.filter(~at).withColumn("kept", F.coalesce(F.col("gumbel_key") > least, F.lit(False)))]
+    # 52 bits of the hash, then the place in the table, as numbers that a double holds exactly
+    tied = materialize(rows.filter(at).withColumns({"__h": F.shiftrightunsigned("tie", 12).cast("double"), "__p": F.monotonically_increasing_id().cast("double")}))
+    for by in ("__h", "__p"):
+        edge = kth_largest(tied, by, left)
+        parts.append(tied.filter(F.col(by) != edge).withColumn("kept", F.col(by) > edge))
+        left -= tied.filter(F.col(by) > edge).count()
+        tied = materialize(tied.filter(F.col(by) == edge))
+        if tied.count() == left:
+            break
+    parts.append(tied.withColumn("kept", F.lit(True)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part.drop("__h", "__p"))
+    return out
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = KEEP_SHARE, **options) -> DataFrame:
-    """The sampled documents with the input's columns."""
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, **options) -> DataFrame:
+    """The sampled documents with the input's columns; documents that share an id are kept if one of them is."""
+    share = good_share(labels, id_col) if share is None else share
     chosen = select_top(materialize(importance(docs, labels, id_col, text_col, **options)), share).filter("kept").select(F.col("id").alias("__i_id")).distinct()
     return docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__i_id")), "left_semi")
 
 
 def op7(spark, sf_dir):
-    rows = materialize(importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return select_top(rows).select(F.col("id").alias("doc_id"), "n_grams", "log_ratio", "gumbel_key", "kept")
+    labels = table(spark, sf_dir, "labels")
+    rows = materialize(importance(table(spark, sf_dir, "documents"), labels))
+    return select_top(rows, good_share(labels)).select(F.col("id").alias("doc_id"), "n_grams", "log_ratio", "gumbel_key", "kept")

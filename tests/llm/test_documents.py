@@ -350,17 +350,31 @@ def test_toxicity_reads_long_spelt_texts_and_trailing_leetspeak():
     assert set(model.restorer.restore("a" * 50_000)) == {"a"}
 
 
-def test_importance(spark, docs, empty):
+def test_importance(spark, docs, empty, tmp_path):
     clean = [(i, prose(60)) for i in range(300)]
     junk = [(1000 + i, " ".join(f"zz{RNG.randint(0, 40)}%%%" for _ in range(60))) for i in range(60)]
     df = spark.createDataFrame(clean + junk + [(None, None), (2000, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(1000, 0), (None, 1)], "doc_id long, quality int")
-    rows = importance.importance(df, labels)
-    got = importance.select_top(rows, 300 / 360).collect()
+    importance.importance(df, labels).write.parquet(str(tmp_path / "rows"))
+    got = importance.select_top(spark.read.parquet(str(tmp_path / "rows")), 300 / 360).collect()
     assert {r.id for r in got if r.kept} == {i for i, _ in clean}
     assert all(r.gumbel_key is None for r in got if r.n_grams == 0)
     keys = sorted((r.gumbel_key for r in got if r.gumbel_key is not None), reverse=True)
     frame = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k double")
     assert [importance.kth_largest(frame, "k", k) for k in (1, 17, 360)] == [keys[0], keys[16], keys[359]]
+    # exactly k rows, however many tie; those of smaller hash go first, then those that stand first
+    ties = [(i, 3.0, i % 4) for i in range(40)] + [(100 + i, 9.0, i) for i in range(5)] + [(200, 1.0, 0), (201, None, 0)]
+    held = spark.createDataFrame(ties, "id long, gumbel_key double, code long").withColumn("tie", F.shiftleft("code", 12)).repartition(3)
+    held.write.parquet(str(tmp_path / "ties"))
+    held = spark.read.parquet(str(tmp_path / "ties"))
+    for k in (3, 5, 8, 15, 17, 45, 46):
+        chosen = [r for r in importance.select_top(held, k / 46).collect() if r.kept]
+        assert len(chosen) == k and sum(r.id >= 100 and r.id < 200 for r in chosen) == min(k, 5)
+        codes = sorted((r.code for r in chosen if r.id < 100), reverse=True)
+        assert codes == sorted((c for _, g, c in ties if g == 3.0), reverse=True)[: len(codes)]
+    assert importance.select_top(held, 0.0).filter("kept").count() == 0 and importance.select_top(held, 1.0).filter("kept").count() == 46
+    assert importance.good_share(labels) == 100 / 101 and importance.good_share(labels.limit(0)) == 1.0
+    clash = df.limit(5).withColumns({"n_grams": F.lit(1), "kept": F.lit("x"), "h": F.lit(2)})
+    assert importance.resample(clash, labels, share=1.0).columns == clash.columns
     assert importance.resample(empty, labels.limit(0)).count() == 0
     assert importance.importance(docs, labels).count() == docs.count()
