@@ -1,7 +1,8 @@
 """Quality rules: line-first cleaning with built-in expressions only.
 
-Every line is judged by itself (punctuation, navigation, boilerplate, runs of one word); failing
-lines go, and a document that loses too much of its text goes as a whole. All figures of a document
+Every line is judged (punctuation, navigation, boilerplate, runs of one word); failing lines go, and
+a document that loses too much of its text goes as a whole. Navigation is a line of separated items, a short
+line of menu words, or a run of short title-like lines; a heading of its own stays. All figures of a document
 come from arrays inside its own row, so there is no shuffle and no hot key at any size.
 
 Defined edge cases: null and empty texts have no words, all counts 0, and fail the base rule (fewer
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Marks between the items of a menu, marks that end or part a sentence.
+SEPARATORS = "|/>»«·•–—-"
+SENTENCE_MARKS = ".!?…:;,。！？"
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,17 @@ class QualityRules:
     max_symbol_percent: int = 30
     #: punctuation: doubled exclamation marks to a hundred words of a line
     max_exclaim_percent: int = 30
+    #: punctuation: a line of so many words without any mark that ends or parts a sentence
+    min_flat_words: int = 20
+    #: navigation: separators that stand alone, at least two, to a hundred words of a line
+    max_separator_percent: int = 15
+    #: navigation: a line of at most so many words that are menu words, two at least, to this share
+    max_menu_words: int = 12
+    min_menu_percent: int = 50
+    #: navigation: so many title-like lines of at most so many words follow each other
+    min_title_lines: int = 3
+    max_title_words: int = 5
+    max_title_chars: int = 80
     #: a line of ``min_run_words`` words or more fails with so few different words to a hundred
     min_run_words: int = 12
     min_distinct_percent: int = 20
@@ -51,7 +66,22 @@ class QualityRules:
         "enable javascript",
         "click here to",
         "sign up for",
+        "alle rechte vorbehalten",
+        "datenschutz",
+        "nutzungsbedingungen",
+        "tous droits réservés",
+        "politique de confidentialité",
+        "mentions légales",
+        "todos los derechos reservados",
+        "política de privacidad",
+        "política de cookies",
+        "aviso legal",
     )
+    menu: tuple[str, ...] = (
+        "home", "about", "contact", "login", "logout", "search", "menu", "news", "sitemap", "register", "help", "faq", "shop", "cart", "account", "imprint",
+        "startseite", "kontakt", "anmelden", "suche", "impressum", "hilfe", "warenkorb", "accueil", "connexion", "recherche", "panier", "aide",
+        "inicio", "contacto", "buscar", "ayuda", "carrito", "acceder",
+    )
 
 
 def _literal(text: str) -> str:
@@ -64,12 +94,24 @@ def _words(text: str) -> str:
     return f"if({bare} = '', cast(array() as array<string>), split({bare}, '[\\\\x20\\\\x09-\\\\x0D]+'))"
 
 
+def _title(rules: QualityRules) -> str:
+    """Pattern of a short line whose words all begin large, without a mark at its end."""
+    blank = r"[\x20\x09-\x0D]"
+    word = r"[^\x20\x09-\x0D]*"
+    return rf"^{blank}*\p{{Lu}}{word}(?:{blank}+[\p{{Lu}}0-9]{word}){{0,{rules.max_title_words - 1}}}{blank}*$"
+
+
 def _figures(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
     """``docs`` and, below names that start with ``__q``, its lines, their verdicts and the counts."""
     spaces, symbols = _literal(SPACES), _literal(SYMBOLS)
     phrases = " or ".join(f"contains(lower(l), {_literal(p)})" for p in rules.boilerplate) or "false"
+    menu = "array(" + ", ".join(_literal(m) for m in rules.menu) + ")"
+    title = _title(rules).replace("\\", "\\\\")
+    lone = f"^[{''.join(chr(92) * 2 + c if c in '|/-' else c for c in SEPARATORS)}]+$"
+    ended = f"[{SENTENCE_MARKS}]{SPACE_CLASS[:-1].replace(chr(92), chr(92) * 2)}*$"
     text = f"coalesce(`{text_col}`, '')"
     df = docs.withColumn("__q_words", F.expr(_words(text))).withColumn("__q_lines", F.expr(f"split({text}, '\\n')"))
+    df = df.withColumn("__q_separated", F.expr(f"length({text}) > length(translate({text}, {_literal(SEPARATORS)}, ''))"))
     df = df.withColumn(
         "__q_judged",
         F.expr(
@@ -78,14 +120,23 @@ def _figures(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
                 length(translate(l, {spaces}, '')) as chars,
                 length(l) - length(translate(l, {symbols}, '')) as symbols,
                 (length(l) - length(replace(l, '!!', ''))) / 2 as exclaims,
-                ({phrases}) as phrase))"""
+                ({phrases}) as phrase,
+                length(l) <= {rules.max_title_chars} and regexp_like(l, '{title}') and not regexp_like(l, '{ended}') as title,
+                __q_separated and length(l) > length(translate(l, {_literal(SEPARATORS)}, '')) as separated,
+                regexp_like(l, '[{SENTENCE_MARKS}]') as marked))"""
         ),
     )
     df = df.withColumn(
         "__q_bad",
         F.expr(
-            f"""transform(__q_judged, j -> size(j.w) > 0 and (
-                100 * j.symbols > {rules.max_symbol_percent} * size(j.w)
+            f"""transform(__q_judged, (j, i) -> size(j.w) > 0 and (
+                (size(j.w) >= {rules.min_flat_words} and not j.marked)
+                or (j.separated and 100 * size(filter(j.w, x -> regexp_like(x, '{lone}'))) > greatest(199, {rules.max_separator_percent} * size(j.w)))
+                or (size(j.w) between 2 and {rules.max_menu_words} and 100 * size(filter(j.w, x -> array_contains({menu}, lower(x))))
+                    >= greatest(200, {rules.min_menu_percent} * size(j.w)))
+                or (j.title and exists(sequence(0, {rules.min_title_lines - 1}), k -> i >= k
+                    and forall(sequence(0, {rules.min_title_lines - 1}), m -> coalesce(get(__q_judged, cast(i - k + m as int)).title, false))))
+                or 100 * j.symbols > {rules.max_symbol_percent} * size(j.w)
                 or 100 * j.exclaims > {rules.max_exclaim_percent} * size(j.w)
                 or (size(j.w) >= {rules.min_run_words}
                     and 100 * size(array_distinct(j.w)) < {rules.min_distinct_percent} * size(j.w))
@@ -175,6 +226,13 @@ def op8(spark, sf_dir):
 def oracle(rules: QualityRules = QualityRules()) -> str:
     """DuckDB SQL for ``op8``."""
     phrases = " or ".join(f"contains(lower(l), '{p}')" for p in rules.boilerplate)
+    menu = ", ".join(f"'{m}'" for m in rules.menu)
+    n = rules.min_title_lines
+
+    def at(d: int) -> str:
+        return "true" if not d else f"coalesce({'lag' if d < 0 else 'lead'}(title, {abs(d)}) over o, false)"
+
+    runs = " or ".join("(" + " and ".join(at(m - k) for m in range(n)) + ")" for k in range(n))
     return f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words, string_split(text, chr(10)) as lines from t),
@@ -183,12 +241,18 @@ win as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]
 twin as (select doc_id, i, count(*) over (partition by doc_id, g) as n from win),
 cov as (select distinct doc_id, i + d as p from twin, (values (0), (1), (2)) as v(d) where n > 1),
 rep as (select doc_id, count(*) as n_repeat_words from cov group by doc_id),
-ln as (select doc_id, unnest(lines) as l from w),
-lw as (select doc_id, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') as lw,
+ln as (select doc_id, unnest(lines) as l, unnest(generate_series(1, len(lines))) as i from w),
+lt as (select doc_id, l, i, coalesce(length(l) <= {rules.max_title_chars} and regexp_matches(l, '{_title(rules)}') and not regexp_matches(l, '[{SENTENCE_MARKS}]{SPACE_CLASS[:-1]}*$'), false) as title from ln),
+lr as (select *, title and ({runs}) as run from lt window o as (partition by doc_id order by i)),
+lw as (select doc_id, l, run, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') as lw, regexp_extract_all(lower(l), '[^\\x20\\x09-\\x0D]+') as lo,
+       regexp_matches(l, '[{SENTENCE_MARKS}]') as marked,
        length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) as sy,
-       (length(l) - length(replace(l, '!!', ''))) / 2 as ex, ({phrases}) as ph from ln),
+       (length(l) - length(replace(l, '!!', ''))) / 2 as ex, ({phrases}) as ph from lr),
 lj as (select doc_id, l, len(lw) as n, length(array_to_string(lw, '')) as chars,
-       (100 * sy > {rules.max_symbol_percent} * len(lw) or 100 * ex > {rules.max_exclaim_percent} * len(lw)
+       (run or (len(lw) >= {rules.min_flat_words} and not marked)
+        or (len(list_filter(lw, lambda x: regexp_full_match(x, '[|/>»«·•–—-]+'))) >= 2 and 100 * len(list_filter(lw, lambda x: regexp_full_match(x, '[|/>»«·•–—-]+'))) > {rules.max_separator_percent} * len(lw))
+        or (len(lw) between 2 and {rules.max_menu_words} and 100 * len(list_filter(lo, lambda x: list_contains([{menu}], x))) >= greatest(200, {rules.min_menu_percent} * len(lw)))
+        or 100 * sy > {rules.max_symbol_percent} * len(lw) or 100 * ex > {rules.max_exclaim_percent} * len(lw)
         or (len(lw) >= {rules.min_run_words} and 100 * len(list_distinct(lw)) < {rules.min_distinct_percent} * len(lw))
         or (ph and len(lw) <= {rules.max_boilerplate_words})) as bad from lw where len(lw) > 0),
 la as (select doc_id, count(*) - count(distinct l) as n_dup_lines, sum(case when bad then chars else 0 end) as lost from lj group by doc_id),

@@ -66,6 +66,18 @@ def test_clean_lines_removes_failed_lines_and_documents(spark):
     df = spark.createDataFrame([(1, good), (2, good + "\nhome | news | sport"), (3, "\n".join(["buy!! now!! cheap!!"] * 30)), (None, good)], "doc_id long, text string")
     got = {(r.doc_id, r.text) for r in line_cleaning.clean_lines(df).collect()}
     assert got == {(1, good), (2, good), (None, good)}
+    # navigation and punctuation, line by line: (line, whether it stays among good ones)
+    lines = [
+        ("Home About Contact", False), ("Home / Sport / Wetter", False), ("Startseite Kontakt", False), ("Sport · Politik · Kultur", False), ("A Heading Of Its Own", True),
+        ("home is where the heart lies they say and so it goes.", True), ("a line without any mark " * 4, False), ("a short line without a mark", True), ("well-known and/or tried.", True),
+        ("mentions légales", False), ("Alle Rechte vorbehalten", False), ("", True),
+    ]
+    more = "\n".join(f"B{i} sentence{i} of quite{i} ordinary{i} words number{i} that{i} stands here{i}." for i in range(50, 62))
+    rows = [(i, f"{good}\n{x}\n{more}") for i, (x, _) in enumerate(lines)]
+    rows += [(50, good + "\nFirst Part\nSecond Part\nThird Part 3\n" + more), (51, good + "\nFirst Part\nSecond Part\nthird part\n" + more)]
+    kept = {r.doc_id: r.text for r in line_cleaning.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: kept[i] == rows[i][1] for i in range(len(lines))} == {i: stays for i, (_, stays) in enumerate(lines)}
+    assert kept[50] == good + "\n" + more and kept[51] == rows[-1][1]
 
 
 def brute_lines(rows):
