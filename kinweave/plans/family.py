@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinweave.operators import linkage, matcher, validation
+from kinweave.operators import kinship, linkage, matcher, search, validation
 from kinweave.operators import people as people_rows
 from kinweave.operators.people import People
 from kinweave.session import materialize, table
@@ -257,7 +257,106 @@ select id, cast(list_sort(list(v))[(count(*) // 2 + 1)::int] as int) as estimate
 IDENTITY = """select 'P' || c_custkey as main_id, 'Q' || c_custkey as compare_id from customer where c_custkey % 10 = 4 and c_custkey % 3 <> 0 and length('00000000' || c_custkey || 'AB') >= 12"""
 
 
+def _rows(spark, d):
+    people, _ = register(spark, d)
+    facts = people.individuals.select("id", F.concat(F.lit("Zapis "), (F.col("ord") % 7).cast("string")).alias("notes"), (F.col("ord") % 5 == 0).alias("private"), F.array(F.concat(F.lit("M"), F.col("ord") % 3)).alias("media_xrefs"), (F.col("ord") % 4 == 0).alias("sources"))
+    return search.person_rows(people, facts.filter("id not like '%7'"))
+
+
+def person_rows(spark, d):
+    return _rows(spark, d).select("id", "sex", "span", "birth_year", "death_year", "deceased", "age", "has_spouse", "has_child", "has_parent", F.array_join(F.array_sort("event_tags"), " ").alias("event_tags"), F.array_join("family_tags", " ").alias("family_tags"), "search_text", "note_text")
+
+
+SPOUSES = "sl as (select fam, max_by(id, o) filter (role = 'husband') as h, max_by(id, o) filter (role = 'wife') as w from edges group by fam)"
+PERSON_ROWS = f"""with {REGISTER}, {SPOUSES},
+r as (select p.*, died is not null as dead, case when k % 2 = 0 then list_extract(['janez', 'franc', 'anton', 'jozef', 'martin', 'gregor', 'luka', 'matija', 'peter', 'simon', 'urban', 'valentin'], ((k * 31 + k // 12) % 12 + 1)::int)
+   else list_extract(['marija', 'ana', 'neza', 'marjeta', 'katarina', 'helena', 'ursula', 'jera', 'magdalena', 'barbara', 'lucija', 'eva'], ((k * 31 + k // 12) % 12 + 1)::int) end as g,
+   list_extract(['novak', 'kovac', 'zupan', 'rajgelj', 'fajfar', 'bozic', 'weiss', 'jereb', 'oblak', 'hribar', 'kos', 'mlakar'], ((x * 5) % 12 + 1)::int) || case when k % 17 = 0 then 'c' else '' end as s from p),
+q as (select *, case when by_ is not null and died is not null then by_ || '–' || died when by_ is not null then by_::varchar when died is not null then '–' || died else '' end as span from r),
+et as (select id, string_agg(distinct tag, ' ' order by tag) as t from ev group by id),
+ft as (select e.id, 'MARR' as t from edges e join wed using (fam) where e.role <> 'child' group by e.id),
+rs as (select h as id from sl where w is not null and h <> w union select w from sl where h is not null and h <> w),
+rc as (select s.id from edges e join sl using (fam), lateral (select unnest([h, w]) as id) s where e.role = 'child' and s.id is not null group by 1),
+rp as (select e.id from edges e join sl using (fam) where e.role = 'child' and (h is not null or w is not null) group by 1)
+select id, sex, span, by_ as birth_year, died as death_year, dead as deceased, cast(case when by_ is null then null when dead then greatest(0, died - by_) else greatest(0, 2024 - by_ - case when k % 5 in (0, 1) then 0 when k % 12 + 1 > 1 then 1 when k % 28 + 1 > 1 then 1 else 0 end) end as int) as age,
+  id in (select id from rs) as has_spouse, id in (select id from rc) as has_child, id in (select id from rp) as has_parent, coalesce(et.t, '') as event_tags, coalesce(ft.t, '') as family_tags,
+  trim(case when k % 103 <> 0 then g || ' ' || s else '' end || ' ' || span) as search_text, case when id like '%7' then '' else 'zapis ' || k % 7 end as note_text
+from q left join et using (id) left join ft using (id)"""
+
+
+CRITERIA = [
+    {"kind": "sex", "value": "F"}, {"kind": "birthYear", "start": 1700, "end": 1900}, {"kind": "relation", "rel": "children", "mode": "has"}, {"kind": "event", "tag": "PROB", "mode": "lacks"},
+    {"kind": "private", "value": False}, {"kind": "media", "mode": "has", "xref": "M1"}, {"kind": "name", "text": "a", "part": "given"}, {"kind": "age", "op": "gte", "years": 30}, {"kind": "living", "value": False},
+]
+
+
+def batch_people(spark, d):
+    return search.batch_filter(_rows(spark, d), CRITERIA).select("id", "age")
+
+
+BATCH_PEOPLE = PERSON_ROWS.replace("select id, sex, span, by_", "select k, id, sex, g, span, by_", 1)
+BATCH_PEOPLE = f"""with b as ({BATCH_PEOPLE}) select id, age from b where sex = 'F' and birth_year between 1700 and 1900 and has_child and not contains(' ' || event_tags || ' ', ' PROB ')
+  and (id like '%7' or (k % 5 <> 0)) and id not like '%7' and k % 3 = 1 and k % 103 <> 0 and contains(g, 'a') and age >= 30 and deceased"""
+
+
+def search_register(spark, d):
+    return search.search_people(_rows(spark, d), "a novak", sex="M", born_from=1700, notes=True).select("id", "search_text")
+
+
+SEARCH_REGISTER = PERSON_ROWS.replace("select id, sex, span, by_", "select k, id, sex, g, s, span, by_", 1)
+SEARCH_REGISTER = f"""with b as ({SEARCH_REGISTER}) select id, search_text from b where contains(search_text, 'a') and contains(search_text, 'novak') and sex = 'M' and birth_year >= 1700 and id not like '%7'
+  order by g || ' ' || s, birth_year * 10000 + case when k % 5 in (0, 1) then 0 else (k % 12 + 1) * 100 + k % 28 + 1 end, coalesce(death_year, 999999), id limit 50"""
+
+
+def kinship_people(spark, d):
+    people, _ = register(spark, d)
+    return search.kinship_sets(people, "P101").filter("ancestor or descendant or blood")
+
+
+KINSHIP_PEOPLE = f"""with {REGISTER}, {SPOUSES}, pa as (select distinct e.id as kid, s.id as par from edges e join sl using (fam), lateral (select unnest([h, w]) as id) s where e.role = 'child' and s.id is not null),
+a as (select par as id from pa where kid = 'P101' union select pa.par from a join pa on pa.kid = a.id), ds as (select kid as id from pa where par = 'P101' union select pa.kid from ds join pa on pa.par = ds.id),
+bl as (select id from a union select 'P101' union select pa.kid from bl join pa on pa.par = bl.id)
+select p.id, p.id in (select id from a) as ancestor, p.id in (select id from ds) as descendant, p.id in (select id from bl) as blood from p where p.id in (select id from a) or p.id in (select id from ds) or p.id in (select id from bl)"""
+
+
+def kinship_labels(spark, d):
+    return kinship.kinship_labels(register(spark, d)[0], "P101")
+
+
+def line_sides(spark, d):
+    return search.line_sides(register(spark, d)[0], "P101")
+
+
+def presumed_living(spark, d):
+    people, _ = register(spark, d)
+    return kinship.presumed_living(people, people_rows.vitals(people.individuals, people_rows.dated(people.events)))
+
+
+def register_numbers(spark, d):
+    people, _ = register(spark, d)
+    vital = people_rows.vitals(people.individuals, people_rows.dated(people.events))
+    return kinship.descendant_register(people, "P14", vital.select("id", "birth_key"))
+
+
+def unions_by_marriage(spark, d):
+    people, _ = register(spark, d)
+    weddings = people_rows.dated(people.events.filter("tag = 'MARR'")).select(F.col("owner").alias("fam_id"), F.col("d.year").alias("key"))
+    return kinship.unions_by_marriage(people, weddings)
+
+
+UNIONS = f"""with {REGISTER}, {SPOUSES}, u as (select fam, unnest([h, w]) as id from sl) select u.id, u.fam as fam_id, cast(row_number() over (partition by u.id order by wed.y nulls last, u.fam) as int) as place from u left join wed using (fam) where u.id is not null"""
+
+
 QUERIES = {
+    "person_rows": (person_rows, PERSON_ROWS),
+    "batch_people": (batch_people, BATCH_PEOPLE),
+    "search_register": (search_register, SEARCH_REGISTER),
+    "kinship_people": (kinship_people, KINSHIP_PEOPLE),
+    "kinship_labels": (kinship_labels, None),
+    "line_sides": (line_sides, None),
+    "presumed_living": (presumed_living, None),
+    "register_numbers": (register_numbers, None),
+    "unions_by_marriage": (unions_by_marriage, UNIONS),
     "match_datasets": (match_datasets, None),
     "incoming_duplicates": (incoming_duplicates, None),
     "score_people": (score_people, None),

@@ -130,15 +130,6 @@ select start as person, case when hg = 0 and tg = 0 then 'self' when tg = 0 then
   when tg = 1 then 'uncle or aunt' else 'cousin ' || (least(hg, tg) - 1) || ' removed ' || abs(hg - tg) end as label from m where k = 1"""
 
 
-def line_sides(spark, d):
-    e = _edges(spark, d).filter("src != 12 and dst != 12")
-    a = graph.bfs_distance(e, spark.createDataFrame([(6,)], "node long"), 6).withColumnRenamed("distance", "a")
-    b = graph.bfs_distance(e, spark.createDataFrame([(24,)], "node long"), 6).withColumnRenamed("distance", "b")
-    both = a.join(b, "node", "full_outer")
-    far = F.lit(1 << 30)
-    return both.select("node", F.when(F.coalesce("a", far) < F.coalesce("b", far), "first").when(F.coalesce("b", far) < F.coalesce("a", far), "second").otherwise("none").alias("side"))
-
-
 def pedigree_loops(spark, d):
     li = table(spark, d, "lineitem")
     e = li.select((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst")).filter("src < dst or (src = 7 and dst = 3)").filter("src != dst")
@@ -190,11 +181,6 @@ def normalize_report(spark, d):
     return shaped.filter("word != to").groupBy(F.col("word").alias("from"), "to").agg(F.count("*").alias("n"))
 
 
-def presumed_living(spark, d):
-    t = graph.bfs_distance(_edges(spark, d), table(spark, d, "customer").filter("c_acctbal > 9800").select(F.col("c_custkey").alias("node")), 8)
-    return t.select("node", (F.col("distance") <= 3).alias("living"))
-
-
 def importable_counts(spark, d):
     t = _tree(spark, d)
     matched = table(spark, d, "customer").filter("c_custkey % 7 = 0")
@@ -220,7 +206,6 @@ QUERIES = {
     "shortest_path": (shortest_path, """with recursive u as (select 9::bigint as n, 0 as g union all select n // 2, g + 1 from u where n > 1), v as (select 14::bigint as n, 0 as g union all select n // 2, g + 1 from v where n > 1),
         top as (select u.g as ug, v.g as vg from u join v using (n) order by u.g + v.g limit 1) select cast(g as int) as step, n as node from u, top where g <= ug union all select cast(ug + vg - g as int), n from v, top where g < vg"""),
     "kinship_label": (kinship_label, LABEL),
-    "line_sides": (line_sides, None),
     "pedigree_loops": (pedigree_loops, None),
     "living_reason": (living_reason, """with o as (select o_custkey, max(o_orderdate) as last, count(*) filter (o_orderstatus = 'P') as declared from orders group by 1)
         select c_custkey, case when declared > 0 then 'declared' when last < timestamp '1999-01-01' then 'deceased' when last >= timestamp '2000-01-01' then 'recent' when last is not null then 'birth' else 'unknown' end as reason from customer left join o on c_custkey = o_custkey"""),
@@ -229,6 +214,5 @@ QUERIES = {
     "link_key": (link_keys, LINK_KEY),
     "page_title": (titles, "select page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), '') as title from pages"),
     "normalize_report": (normalize_report, "with w as (select unnest(string_split(p_name, ' ')) as word from part), s as (select word, upper(left(word, 1)) || lower(substr(word, 2)) as t from w) select word as \"from\", t as \"to\", count(*) as n from s where word <> t group by 1, 2"),
-    "presumed_living": (presumed_living, None),
     "importable_counts": (importable_counts, f"with {CUST_UP.format(w='c_custkey % 7 = 0')} select start, count(*) as ancestors from up where node % 7 <> 0 group by 1"),
 }
