@@ -1,40 +1,42 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the smallest k-gram hash of every window of k-grams. A window of ``span`` words is
-exactly one window of k-grams, so any span of that many shared words has a fingerprint in common.
-Documents' fingerprints are joined with those of the benchmark inside the scan; each hit is then
-extended along its diagonal, word by word, and runs of ``span`` words or more count. Items shorter
-than ``span`` words are one window of their own length, looked up whole.
+exactly one window of k-grams, so any span of that many shared words has a fingerprint in common, chosen
+by both sides. Fingerprints of documents and items are joined; each hit is extended word by word to both
+sides, as far as a window reaches, and runs of ``span`` words or more count. Longer shared passages are the
+union of the runs of their fingerprints, as each of their windows has one. Items shorter than ``span``
+words are one window of their own length, looked up whole.
 
-Scale: the benchmark is worked off in blocks whose text is measured first and stays below
-``BLOCK_TEXT`` bytes, so what is broadcast has a proven bound; one block needs no shuffle at all.
-With several, only documents that were hit are merged by key.
+Scale: documents are scanned once, whatever the size of the benchmark. A bitmap of the benchmark's
+fingerprints, of at most ``BITMAP_BITS`` bits, is all that is broadcast: it keeps most documents' fingerprints out
+of the join, which is an ordinary one, so a hot passage is split by the skew join. Equal passages of many
+items are one class in the join and meet their items afterwards, once for each document.
 
 Defined edge cases: null and empty texts (either side) have no words and no hits; items with a null
 id are left out, items that share an id count once; repeated documents each get their row; ids may
-be null; extra columns of either table are ignored by ``contamination`` and kept by
-``remove_contaminated``; an empty benchmark hits nothing, an empty corpus gives no rows.
+be null; texts of any length are read whole; extra columns of either table, whatever their names, are ignored by
+``contamination`` and kept by ``remove_contaminated``; an empty benchmark hits nothing, an empty corpus gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinweave.llm import wordhash as W
-from kinweave.session import table
+from kinweave.session import materialize, table
 
 SPAN = 10
 GRAM = 5
-#: Bytes of benchmark text in a block; a block's index is about ten times that.
-BLOCK_TEXT = 4 << 20
-_BITS = 1 << 20
+#: Bound of the broadcast bitmap; a larger benchmark only lets more fingerprints through to the join.
+BITMAP_BITS = 1 << 25
+#: Bits for each fingerprint below that bound.
+BITS_EACH = 32
+_PRINT = "struct<h:bigint,n:int,places:array<bigint>,left:array<bigint>,gram:array<bigint>,right:array<bigint>>"
 
 
 def winnowed(hashes: np.ndarray, text: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,126 +57,146 @@ def winnowed(hashes: np.ndarray, text: np.ndarray, k: int, span: int) -> tuple[n
     return at, g[at]
 
 
-class ItemIndex:
-    """Fingerprints of a block of benchmark items."""
-
-    def __init__(self, ids: list[str], texts: list[str | None], span: int = SPAN, k: int = GRAM):
-        self.span, self.k, self.ids = span, k, ids
-        raw, offsets = W.buffers(pa.array([t or "" for t in texts], pa.large_string()))
-        words = W.Words(raw, offsets, W.ALNUM)
-        self.words = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        at, hashes = winnowed(words.hashes, words.text, k, span)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, at = hashes[order], at[order]
-        self.item = words.text[at]
-        self.offset = at - words.first[self.item]
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, w in enumerate(self.words):
-            if 0 < len(w) < span:
-                self.short[len(w)][int(W.grams(w, len(w))[0])].append(i)
-        self.short = {n: dict(x) for n, x in self.short.items()}
-        self.bits = np.zeros(_BITS, dtype=bool)
-        self.bits[(self.hashes & np.uint64(_BITS - 1)).astype(np.int64)] = True
-
-    def hits(self, words: W.Words) -> tuple[dict[int, set[int]], dict[int, list[tuple[int, int]]]]:
-        """By text of the block: the items found, and the runs of words hit (first, end)."""
-        items, runs = defaultdict(set), defaultdict(list)
-        at, h = winnowed(words.hashes, words.text, self.k, self.span)
-        near = self.bits[(h & np.uint64(_BITS - 1)).astype(np.int64)]
-        at, h = at[near], h[near]
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        seen = set()
-        for p, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-            doc = int(words.text[p])
-            place = p - int(words.first[doc])
-            for x in range(a, b):
-                seen.add((doc, int(self.item[x]), place - int(self.offset[x])))
-        for doc, item, shift in seen:
-            d, w = words.hashes[words.first[doc] : words.first[doc + 1]], self.words[item]
-            begin, end = max(0, shift), min(len(d), shift + len(w))
-            same = np.zeros(end - begin + 2, dtype=np.int8)
-            same[1:-1] = d[begin:end] == w[begin - shift : end - shift]
-            edges = np.flatnonzero(np.diff(same))
-            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if e - s >= self.span:
-                    items[doc].add(item)
-                    runs[doc].append((begin + s, begin + e))
-        for n, wanted in self.short.items():
-            g = W.grams(words.hashes, n)
-            if not len(g):
-                continue
-            keys = np.array(sorted(wanted), dtype=np.uint64)
-            found = np.flatnonzero(np.isin(g, keys) & (words.text[: len(g)] == words.text[n - 1 :]))
-            for p in found.tolist():
-                doc = int(words.text[p])
-                items[doc].update(wanted[int(g[p])])
-                runs[doc].append((p - int(words.first[doc]), p - int(words.first[doc]) + n))
-        return items, runs
-
-
-def _scan(docs: DataFrame, id_col: str, text_col: str, index) -> DataFrame:
-    """Per row: id, row hash, words, runs and items of one block."""
-    schema = T.StructType(
-        [
-            T.StructField("__d_id", docs.schema[id_col].dataType),
-            T.StructField("__d_row", T.LongType()),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))),
-            T.StructField("items", T.ArrayType(T.StringType())),
-        ]
-    )
+class Fingerprints:
+    """Fingerprints of a block's texts: k-grams of windows with the words around them, and whole short texts."""
+
+    def __init__(self, words: W.Words, span: int, k: int):
+        self.words, self.span, self.k = words, span, k
+        self.signed = words.hashes.view(np.int64)
+
+    def long(self, keep=None):
+        """(text, place, hash, words before from the nearest on, the k words, words after) of the windows' k-grams."""
+        w, reach = self.words, self.span - self.k
+        at, h = winnowed(w.hashes, w.text, self.k, self.span)
+        if keep is not None:
+            near = keep(h)
+            at, h = at[near], h[near]
+        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+            doc = int(w.text[p])
+            first, end = int(w.first[doc]), int(w.first[doc + 1])
+            yield doc, p - first, x, self.signed[max(first, p - reach) : p][::-1].tolist(), self.signed[p : p + self.k].tolist(), self.signed[p + self.k : min(end, p + self.k + reach)].tolist()
+
+    def short(self, n: int, keep):
+        """(text, places, hash) of the n-grams that ``keep`` lets pass, each once for a text."""
+        w = self.words
+        g = W.grams(w.hashes, n)
+        if not len(g):
+            return
+        at = np.flatnonzero((w.text[: len(g)] == w.text[n - 1 :]) & keep(g))
+        order = at[np.lexsort((at, g[at], w.text[at]))]
+        new = np.flatnonzero(np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (w.text[order][1:] != w.text[order][:-1])])) if len(order) else []
+        for places in np.split(order, new[1:]) if len(order) else []:
+            doc = int(w.text[places[0]])
+            yield doc, (places - int(w.first[doc])).tolist(), int(g[places[:1]].view(np.int64)[0])
+
+
+def _prints(items: DataFrame, span: int, k: int) -> DataFrame:
+    """(item, f): fingerprints of the benchmark."""
 
     def run(batches):
-        found = index.value
         for batch in batches:
-            raw, offsets = W.buffers(batch.column(2))
+            raw, offsets = W.buffers(batch.column(1))
+            names = batch.column(0).to_pylist()
             for a, b in W.blocks(offsets):
                 words = W.Words(raw, offsets[a : b + 1], W.ALNUM)
-                items, runs = found.hits(words)
+                sizes = np.diff(words.first)
+                out = [(names[a + i], {"h": h, "n": 0, "places": [p], "left": x, "gram": g, "right": y}) for i, p, h, x, g, y in Fingerprints(words, span, k).long()]
+                for i in np.flatnonzero((sizes > 0) & (sizes < span)).tolist():
+                    h = W.grams(words.hashes[words.first[i] : words.first[i + 1]], int(sizes[i])).view(np.int64)[0]
+                    out.append((names[a + i], {"h": int(h), "n": int(sizes[i]), "places": [0], "left": [], "gram": [], "right": []}))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([f for _, f in out], _arrow_print())], names=["item", "f"])
+
+    return items.mapInArrow(run, f"item string, f {_PRINT}")
+
+
+def _arrow_print() -> pa.DataType:
+    long = pa.list_(pa.int64())
+    return pa.struct([("h", pa.int64()), ("n", pa.int32()), ("places", long), ("left", long), ("gram", long), ("right", long)])
+
+
+def _bitmap(prints: DataFrame, bits: int) -> np.ndarray:
+    """Which hashes modulo ``bits`` the benchmark has; words of 64 bits are put together before they are collected."""
+    bit = F.expr(f"h & {bits - 1}L")
+    words = prints.select(F.expr("f.h as h")).select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}L) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = words.toArrow()
+    out = np.zeros(max(bits // 64, 1), np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _scan(docs: DataFrame, bitmap, lengths: list[int], span: int, k: int) -> DataFrame:
+    """Per row: n_words and the fingerprints that the bitmap lets pass."""
+    id_type = docs.schema["__d_id"].dataType.simpleString()
+
+    def run(batches):
+        bits = bitmap.value
+        mask = np.uint64(len(bits) * 64 - 1)
+
+        def keep(h: np.ndarray) -> np.ndarray:
+            at = h & mask
+            return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+        for batch in batches:
+            raw, offsets = W.buffers(batch.column(3))
+            for a, b in W.blocks(offsets):
+                words = W.Words(raw, offsets[a : b + 1], W.ALNUM)
+                f = Fingerprints(words, span, k)
+                found = [[] for _ in range(b - a)]
+                for i, p, h, x, g, y in f.long(keep):
+                    found[i].append({"h": h, "n": 0, "places": [p], "left": x, "gram": g, "right": y})
+                for n in lengths:
+                    for i, places, h in f.short(n, keep):
+                        found[i].append({"h": h, "n": n, "places": places, "left": [], "gram": [], "right": []})
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
-                        pa.array(np.diff(words.first).astype(np.int64)),
-                        pa.array([[list(r) for r in runs[i]] if i in runs else [] for i in range(b - a)], pa.list_(pa.list_(pa.int64()))),
-                        pa.array([sorted({found.ids[x] for x in items[i]}) if i in items else [] for i in range(b - a)], pa.list_(pa.string())),
-                    ],
-                    names=["__d_id", "__d_row", "n_words", "runs", "items"],
+                    [*[batch.column(c).slice(a, b - a) for c in range(3)], pa.array(np.diff(words.first).astype(np.int64)), pa.array(found, pa.list_(_arrow_print()))],
+                    names=["__d_id", "k1", "k2", "n_words", "f"],
                 )
 
-    return docs.select(F.col(id_col).alias("__d_id"), F.expr(f"xxhash64(`{text_col}`)").alias("__d_row"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, f"__d_id {id_type}, k1 long, k2 long, n_words long, f array<{_PRINT}>")
+
+
+def _common(a: str, b: str) -> str:
+    """SQL for the number of equal elements at the beginning of two lists."""
+    least = f"least(size({a}), size({b}))"
+    first = f"array_position(zip_with(slice({a}, 1, {least}), slice({b}, 1, {least}), (x, y) -> x = y), false)"
+    return f"if({first} = 0, {least}, {first} - 1)"
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, block_text: int = BLOCK_TEXT,
+    item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, bitmap_bits: int = BITMAP_BITS,
 ) -> DataFrame:
     """Per document: id, n_words, hit runs of words and the ids (strings) of the items found."""
     spark = docs.sparkSession
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_text))
-    scans = []
-    for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
-        rows = block.collect()  # of measured size
-        index = spark.sparkContext.broadcast(ItemIndex([r.i for r in rows], [r.t for r in rows], span, gram))
-        scans.append(_scan(docs, id_col, text_col, index))
-    if n_blocks == 1:
-        merged = scans[0].drop("__d_row")
-    else:
-        # documents that some block hit are merged by key; the rest keep their own rows
-        hit = scans[0].filter("size(items) > 0").drop("n_words")
-        for s in scans[1:]:
-            hit = hit.unionByName(s.filter("size(items) > 0").drop("n_words"))
-        hit = hit.distinct().groupBy("__d_id", "__d_row").agg(
-            F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-        )
-        hit = hit.select(F.col("__d_id").alias("__h_id"), F.col("__d_row").alias("__h_row"), F.col("runs").alias("__h_runs"), F.col("items").alias("__h_items"))
-        merged = scans[0].join(hit, F.col("__d_id").eqNullSafe(F.col("__h_id")) & (F.col("__d_row") == F.col("__h_row")), "left").select(
-            "__d_id", "n_words", F.expr("coalesce(__h_runs, array())").alias("runs"), F.expr("coalesce(__h_items, array())").alias("items")
-        )
-    return merged.withColumnRenamed("__d_id", id_col)
+    raw = materialize(_prints(items, span, gram))
+    kinds = {r.n: r.c for r in raw.groupBy("f.n").agg(F.count("*").alias("c")).collect()}  # at most ``span`` rows
+    lengths = sorted(n for n in kinds if n)
+    wanted = max(64, BITS_EACH * sum(kinds.values()))
+    bitmap = spark.sparkContext.broadcast(_bitmap(raw, min(bitmap_bits, 1 << (wanted - 1).bit_length())))
+    # equal passages of several items are one class
+    classes = materialize(raw.groupBy("f.h", "f.n", "f.left", "f.gram", "f.right").agg(F.collect_set("item").alias("items")))
+    keyed = ["xxhash64(__d_id, __d_text) as k1", "xxhash64(1, __d_text, __d_id, 2) as k2"]
+    rows = docs.select(F.col(id_col).alias("__d_id"), F.col(text_col).alias("__d_text")).selectExpr("__d_id", *keyed, "__d_text")
+    scanned = materialize(_scan(rows, bitmap, lengths, span, gram))
+    asked = scanned.filter("size(f) > 0").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("f").alias("f")).select("k1", "k2", *[F.col(f"f.{c}").alias(f"d_{c}") for c in ("h", "n", "places", "left", "gram", "right")])
+    members = classes.withColumn("class", F.expr("xxhash64(h, n, left, gram, right)")).withColumn("class2", F.expr("xxhash64(right, gram, left, n, h, 1)"))
+    met = asked.join(members.select("h", "n", "left", "gram", "right", "class", "class2"), (F.col("d_h") == F.col("h")) & (F.col("d_n") == F.col("n")))
+    before, after = _common("d_left", "left"), _common("d_right", "right")
+    met = met.select("k1", "k2", "class", "class2", "d_places", "n", F.expr(f"if(n > 0, 0, {before})").alias("l"), F.expr(f"if(n > 0, n, {gram} + {after})").alias("r"), F.expr("d_gram = gram").alias("same"))
+    hits = materialize(
+        met.filter(f"same and (n > 0 or l + r >= {span})")
+        .select("k1", "k2", "class", "class2", F.expr("transform(d_places, p -> array(p - l, p + r))").alias("runs"))
+    )
+    runs = hits.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("__h_runs"))
+    found = hits.select("k1", "k2", "class", "class2").distinct().join(members.select("class", "class2", F.explode("items").alias("item")), ["class", "class2"]).select("k1", "k2", "item").distinct()
+    named = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item")).alias("__h_items"))
+    both = runs.join(named, ["k1", "k2"]).withColumnsRenamed({"k1": "__h1", "k2": "__h2"})
+    out = scanned.select("__d_id", "k1", "k2", "n_words").join(both, (F.col("k1") == F.col("__h1")) & (F.col("k2") == F.col("__h2")), "left")
+    return out.select(
+        F.col("__d_id").alias(id_col), "n_words", F.expr("coalesce(__h_runs, cast(array() as array<array<bigint>>))").alias("runs"), F.expr("coalesce(__h_items, cast(array() as array<string>))").alias("items")
+    )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -221,11 +221,13 @@ def test_suffix_dedup(spark, docs, rows, empty, hot):
 
 
 ITEMS = [("a", prose(25)), ("b", "one two"), ("c", None), ("d", ""), ("e", prose(12)), (None, prose(14)), ("f", "?!")]
+# items that share a passage, one that repeats itself, one of a single word
+ITEMS += [("g", ITEMS[0][1] + " " + prose(8)), ("h", "over and over " * 9), ("i", "omega"), ("a", ITEMS[4][1])]
 
 
-@pytest.mark.parametrize("block_text", [1 << 20, 64])
-def test_decontamination(spark, docs, rows, empty, block_text):
-    held = rows + [(50, prose(40) + " " + ITEMS[0][1].upper() + " " + prose(10)), (51, "x " + ITEMS[0][1][20:] + "?"), (None, ITEMS[4][1])]
+@pytest.mark.parametrize("bits", [1 << 20, 64])
+def test_decontamination(spark, docs, rows, empty, bits):
+    held = rows + [(50, prose(40) + " " + ITEMS[0][1].upper() + " " + prose(10)), (51, "x " + ITEMS[0][1][20:] + "?"), (None, ITEMS[4][1]), (52, prose(9) + " and " + "over and over " * 40), (53, ITEMS[0][1] * 2), (54, " ".join([ITEMS[4][1]] * 300))]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     want = Counter()
     for i, t in held:
@@ -239,10 +241,11 @@ def test_decontamination(spark, docs, rows, empty, block_text):
                     hit |= set(range(p, p + n))
                     items.add(name)
         want[(i, len(w), len(hit), tuple(sorted(items)))] += 1
-    df = spark.createDataFrame(held, "doc_id long, text string")
+    # extra columns named as the operator's own
+    df = spark.createDataFrame([(*h, "x", 1, 2) for h in held], "doc_id long, text string, n_words string, k1 int, f long")
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
     got = Counter()
-    for r in decontamination.contamination(df, bench, block_text=block_text).collect():
+    for r in decontamination.contamination(df, bench, bitmap_bits=bits).collect():
         hit = {p for a, b in r.runs for p in range(a, b)}
         got[(r.doc_id, r.n_words, len(hit), tuple(sorted(r["items"])))] += 1
     assert got == want
