@@ -9,7 +9,6 @@ from pyspark.sql import Window
 
 from kinweave.functions.geo import haversine_km, mercator_x, mercator_y
 from kinweave.operators.graph import connected_components
-from kinweave.operators.profile import top_one
 from kinweave.session import materialize
 
 
@@ -22,23 +21,6 @@ def place_tree(uses: DataFrame, path: str, record: str) -> DataFrame:
     )
 
 
-def place_key(text: Column) -> Column:
-    """Folded parts of a place, repeats left out."""
-    parts = F.transform(F.split(F.lower(text), ","), lambda p: F.regexp_replace(F.trim(p), r"\s+", " "))
-    return F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), ", ")
-
-
-def register_lookup(names: DataFrame, register: DataFrame, name: str, entry: str, weight: str) -> DataFrame:
-    """(name, entry, score): exact by folded name, ties by weight; only misses are compared by edit distance in a block."""
-    n = names.select(F.col(name).alias("name")).distinct().withColumn("k", F.lower(F.trim("name")))
-    r = register.select(F.col(entry).alias("entry"), F.col(weight).alias("w")).withColumn("k", F.lower(F.trim("entry")))
-    exact = top_one(n.join(r, "k"), ["name"], F.desc("w"), F.asc("entry")).select("name", "entry", F.lit(1.0).alias("score"))
-    miss = n.join(exact.select("name"), "name", "left_anti").withColumn("b", F.substring("k", 1, 2))
-    near = miss.join(r.select("entry", "w", F.col("k").alias("rk"), F.substring("k", 1, 2).alias("b")), "b")
-    near = near.withColumn("score", 1 - F.levenshtein("k", "rk") / F.greatest(F.length("k"), F.length("rk"))).filter("score >= 0.7")
-    return exact.unionByName(top_one(near, ["name"], F.desc("score"), F.desc("w"), F.asc("entry")).select("name", "entry", "score"))
-
-
 def search_rank(text: Column, query: Column) -> Column:
     """0 exact, 1 whole word, 2 prefix, 3 substring, null no hit."""
     t, q = F.lower(text), F.lower(query)

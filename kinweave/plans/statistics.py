@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import dates, geo
 from kinweave.functions.text import fold_ascii, shape
-from kinweave.operators import places, profile, review
+from kinweave.operators import gazetteer, places, profile, review
 from kinweave.session import table
 
 
@@ -204,8 +204,24 @@ def place_groups(spark, d):
 
 
 def register_lookup(spark, d):
-    n = table(spark, d, "nation").withColumn("written", F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit("X"))).otherwise(F.lower("n_name")))
-    return places.register_lookup(n, table(spark, d, "nation"), "written", "n_name", "n_nationkey").select("name", "entry", F.round("score", 9).alias("score"))
+    """Nations as a gazetteer, with their regions as what they lie in; names written small, with a typo, or under the wrong region."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    entries = n.select(
+        k.alias("entry"), F.col("n_name").alias("name"), F.concat(F.lit("OLD "), "n_name").alias("ascii"), F.array(F.concat("n_name", F.lit(" LAND"))).alias("alt"), (k * 2.0).alias("lat"), (k * 3.0).alias("lon"),
+        F.lit("P").alias("fclass"), F.col("n_regionkey").cast("string").alias("country"), F.array("r_name").alias("admin"), (k * 10).alias("population"), F.lit(False).alias("register"),
+    )
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == k)
+    i = F.col("c_custkey")
+    name = F.when(i % 4 == 0, F.concat(F.lit("Old "), F.initcap("n_name"))).when(i % 4 == 1, F.concat("n_name", F.lit("X"))).otherwise(F.lower("n_name"))
+    parents = F.when(i % 3 == 0, F.array("r_name")).when(i % 3 == 1, F.array(F.lit("Nowhere")))
+    country = F.when(i % 5 == 0, F.col("n_regionkey").cast("string")).when(i % 5 == 1, F.lit("77"))
+    written = c.select(i.alias("id"), name.alias("name"), parents.alias("parents"), country.alias("country"))
+    return gazetteer.lookup(written, entries).select("id", "entry", F.round("score", 9).alias("score"))
+
+
+REGISTER_LOOKUP = """with w as (select c_custkey as id, n_nationkey as entry, length(n_name) as l, c_custkey % 4 as f, c_custkey % 3 as p, c_custkey % 5 as c from customer join nation on c_nationkey = n_nationkey)
+select id, entry, round(cast(case when f = 0 then 0.97 when f = 1 then 0.94 * ((l / l + l / (l + 1) + 1) / 3 + 0.4 * (1 - (l / l + l / (l + 1) + 1) / 3)) else 1 end - case when p = 1 then 0.06 else 0 end as double), 9) as score from w where c <> 1"""
 
 
 def ranked_search(spark, d):
@@ -215,7 +231,7 @@ def ranked_search(spark, d):
 
 def place_compare_key(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select("n_nationkey", places.place_key(F.concat_ws(" ,", "n_name", "r_name", "n_name")).alias("key"))
+    return n.select("n_nationkey", gazetteer.place_key(F.concat_ws(" ,", "n_name", "r_name", F.lit("Österreich"), "n_name", F.lit("Združene države Amerike"))).alias("key"))
 
 
 def example_shapes(spark, d):
@@ -387,11 +403,10 @@ QUERIES = {
     "parse_date": (parse_date, "select o_orderkey, case when o_orderkey % 3 = 0 then 'about' else 'exact' end as qualifier, year(o_orderdate) as year, month(o_orderdate) as month, day(o_orderdate) as day from orders"),
     "place_tree": (place_tree, PLACE_TREE),
     "place_groups": (place_groups, "select c_nationkey, count(*) as uses, count(*) filter (o_totalprice < 50000) as missing, count(distinct o_custkey) as people from orders join customer on o_custkey = c_custkey group by 1"),
-    "register_lookup": (register_lookup, """with n as (select case when n_nationkey % 3 = 0 then n_name || 'X' else lower(n_name) end as name from nation), e as (select name, n_name as entry, 1.0 as score, n_nationkey as w from n join nation on lower(name) = lower(n_name)),
-        m as (select name, n_name as entry, 1 - levenshtein(lower(name), lower(n_name)) / greatest(length(name), length(n_name)) as score, n_nationkey as w from n join nation on left(lower(name), 2) = left(lower(n_name), 2) where name not in (select name from e))
-        select name, entry, round(score, 9) as score from (select * from e union all select * from m where score >= 0.7) as x qualify row_number() over (partition by name order by score desc, w desc, entry) = 1"""),
+    "register_lookup": (register_lookup, REGISTER_LOOKUP),
     "ranked_search": (ranked_search, "select p_partkey, cast(r as int) as rank from (select p_partkey, p_name, case when lower(p_name) = 'ring' then 0 when list_contains(string_split(lower(p_name), ' '), 'ring') then 1 when starts_with(lower(p_name), 'ring') then 2 when contains(lower(p_name), 'ring') then 3 end as r from part) as t where r is not null order by r, p_name, p_partkey limit 50"),
-    "place_compare_key": (place_compare_key, "select n_nationkey, case when lower(n_name) = lower(r_name) then lower(n_name) else lower(n_name) || ', ' || lower(r_name) end as key from nation join region on n_regionkey = r_regionkey"),
+    "place_compare_key": (place_compare_key, """with t as (select n_nationkey, case replace(lower(n_name), ' ', '') when 'unitedstates' then 'unitedstates' else replace(lower(n_name), ' ', '') end as n, replace(lower(r_name), ' ', '') as r from nation join region on n_regionkey = r_regionkey)
+        select n_nationkey, n || case when r <> n then ',' || r else '' end || ',austria' || case when n <> 'unitedstates' then ',unitedstates' else '' end as key from t"""),
     "example_shapes": (example_shapes, "select shape, min(c_custkey) as c_custkey from (select c_custkey, regexp_replace(regexp_replace(c_name, '\\d', '#', 'g'), '\\p{L}', 'A', 'g') as shape from customer) as t group by 1"),
     "batch_filter": (batch_filter, "select c_custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY') and c_acctbal > 0 and contains(c_name, '1') and c_custkey in (select o_custkey from orders where o_orderstatus = 'F')"),
     "people_search": (people_search, "select p_partkey, p_name from part where contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'ring') and contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1') order by lower(p_name), p_size, p_partkey limit 50"),
