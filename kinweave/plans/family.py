@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinweave.operators import kinship, linkage, matcher, search, validation
+from kinweave.operators import alignment, kinship, linkage, matcher, privacy, search, validation
 from kinweave.operators import people as people_rows
 from kinweave.operators.people import People
 from kinweave.session import materialize, table
@@ -184,7 +184,8 @@ def _other_file(people: People) -> People:
         latin = F.when(F.col("given") == a, b).otherwise(latin)
 
     def other(c: str):
-        return F.concat(F.lit("Q"), F.substring(c, 2, 20))
+        # families keep their letter behind another one, so that no family has a person's id
+        return F.when(F.col(c).startswith("P"), F.concat(F.lit("Q"), F.substring(c, 2, 20))).otherwise(F.concat(F.lit("Y"), F.col(c)))
 
     ind = people.individuals.filter(kept).withColumn("given", F.when(n % 5 == 0, latin).otherwise(F.col("given"))).withColumn("surname", F.when(n % 7 == 0, F.concat("surname", F.lit("c"))).otherwise(F.col("surname")))
     ind = ind.withColumn("name", F.concat_ws(" ", "given", "surname")).withColumn("id", other("id"))
@@ -347,7 +348,58 @@ def unions_by_marriage(spark, d):
 UNIONS = f"""with {REGISTER}, {SPOUSES}, u as (select fam, unnest([h, w]) as id from sl) select u.id, u.fam as fam_id, cast(row_number() over (partition by u.id order by wed.y nulls last, u.fam) as int) as place from u left join wed using (fam) where u.id is not null"""
 
 
+def align_events(spark, d):
+    """Events of every person and the same person in the other file."""
+    main, other = two_files(spark, d)
+    pairs = main.individuals.select(F.col("id").alias("main_id"), F.concat(F.lit("Q"), F.substring("id", 2, 20)).alias("compare_id")).join(other.individuals.select(F.col("id").alias("compare_id")), "compare_id", "left_semi")
+    ready = [people_rows.dated(x.events.withColumn("value", F.lit(None).cast("string"))) for x in (main, other)]
+    return alignment.align_events(pairs, *ready)
+
+
+def living_people(spark, d):
+    people, _ = register(spark, d)
+    vital = people_rows.vitals(people.individuals, people_rows.dated(people.events))
+    private = people.individuals.filter("ord % 31 = 0").select("id")
+    return privacy.living_reasons(people, vital, private, recently=5, unknown_living=True)
+
+
+LIVING_PEOPLE = f"""with {REGISTER}, {SPOUSES},
+rel as (select e.id, s.id as r, 28 as d from edges e join sl using (fam), lateral (select unnest([h, w]) as id) s where e.role = 'child' and s.id is not null
+  union all select s.id, e.id, -28 from edges e join sl using (fam), lateral (select unnest([h, w]) as id) s where e.role = 'child' and s.id is not null
+  union all select h, w, 0 from sl where h is not null and w is not null and h <> w union all select w, h, 0 from sl where h is not null and w is not null and h <> w),
+est as (select rel.id, max(p.by_ + d) as y from rel join p on p.id = rel.r where p.by_ is not null group by rel.id),
+x as (select p.id, case when k % 31 = 0 then 'declared' when died is not null then case when 2024 - died <= 5 then 'recentDeath' end when by_ is not null then case when 2024 - by_ < 100 then 'birth' end
+  when est.y is not null then case when 2024 - est.y < 100 then 'relative' end else 'unknown' end as reason from p left join est on est.id = p.id)
+select id, reason from x where reason is not null"""
+
+
+def sibling_estimates(spark, d):
+    people, _ = register(spark, d)
+    return privacy.sibling_estimates(people, people_rows.vitals(people.individuals, people_rows.dated(people.events)), people.individuals)
+
+
+def people_islands(spark, d):
+    """Islands and loops of the register, the two rules SQL cannot follow."""
+    people, links = register(spark, d)
+    return validation.validate(people, links).filter("category in ('pedigreeLoop', 'island')")
+
+
+def people_issue_counts(spark, d):
+    people, links = register(spark, d)
+    return validation.issue_counts(validation.validate(people, links).filter("category not in ('pedigreeLoop', 'island')")).filter("category not in ('pedigreeLoop', 'island')")
+
+
+def duplicate_clusters(spark, d):
+    return matcher.duplicate_clusters(materialize(duplicate_people(spark, d))).select("cluster", F.size("members").alias("members"), "pairs", "max_score", "unpaired")
+
+
 QUERIES = {
+    "align_events": (align_events, None),
+    "living_people": (living_people, LIVING_PEOPLE),
+    "sibling_estimates": (sibling_estimates, None),
+    "people_islands": (people_islands, None),
+    "people_issue_counts": (people_issue_counts, f"select c.category, cast(coalesce(sum(v.n), 0) as bigint) as n from (select unnest([{', '.join(repr(c) for c in validation.CATEGORIES if c not in ('pedigreeLoop', 'island'))}]) as category) c left join ({VALIDATE_PEOPLE}) v using (category) group by 1"),
+    "duplicate_clusters": (duplicate_clusters, None),
     "person_rows": (person_rows, PERSON_ROWS),
     "batch_people": (batch_people, BATCH_PEOPLE),
     "search_register": (search_register, SEARCH_REGISTER),
