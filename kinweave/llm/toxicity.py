@@ -45,7 +45,9 @@ BLOCK_BYTES = 4 << 20
 SMOOTH = 0.5
 LEAST_WEIGHT = 1.0
 BEGINNINGS = (4, 5, 6, 7)
+#: Readings kept at a time: of suspicious strings, and of chunks, most of which are a number only.
 CACHE = 200_000
+CHUNKS = 600_000
 #: Strings up to so many characters are kept in the caches; longer ones are read each time.
 KNOWN_CHARS = 128
 #: Evidence counts up to so many standard deviations.
@@ -211,12 +213,14 @@ class ToxicModel:
         found = self.cache.get(chunk)
         if found is None:
             words = self.words(chunk)
-            found = [x for w in words if (x := self.word_weight(w))], len(words)
-            if len(self.cache) >= CACHE:
+            weights = [x for w in words if (x := self.word_weight(w))]
+            # a chunk without marked words is kept as its number of words
+            found = (weights, len(words)) if weights else len(words)
+            if len(self.cache) >= CHUNKS:
                 self.cache.clear()
             if len(chunk) <= KNOWN_CHARS:
                 self.cache[chunk] = found
-        return found
+        return found if type(found) is tuple else ([], found)
 
     @staticmethod
     def evidence(weights: list[float], n: int) -> list[float]:
@@ -335,12 +339,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def weigh(batches):
         m = shared.value
+        known: dict[str, tuple[tuple[str, ...], int]] = {}
+
+        def marked_words(chunk: str) -> tuple[tuple[str, ...], int]:
+            """Words of a chunk that have a feature with a rate, and the number of all its words."""
+            found = known.get(chunk)
+            if found is None:
+                words = m.words(chunk)
+                found = tuple(w for w in words if any(f in m.rates for f in features(w))), len(words)
+                if len(known) >= CACHE:
+                    known.clear()
+                if len(chunk) <= KNOWN_CHARS:
+                    known[chunk] = found
+            return found
+
         for batch in batches:
             out, marks = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w for c in (text or "").lower().split(" ") for w in m.words(c)]
+                read = [marked_words(c) for c in (text or "").lower().split(" ")]
+                words = [w for ws, _ in read for w in ws]
                 own = Counter(f for w in words for f in features(w) if f in m.rates)
-                out.append(m.evidence([x for w in words if (x := m.word_weight(w, own, y > 0))], len(words)))
+                out.append(m.evidence([x for w in words if (x := m.word_weight(w, own, y > 0))], sum(n for _, n in read)))
                 marks.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), pa.array(marks, pa.int32())], names=["x", "y"])
 
