@@ -28,6 +28,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: Tables this process has written, in order.
+_written: list[str] = []
+
+
+def clear_tables(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``materialize`` wrote in this process, from the ``since``-th on; returns how many.
+
+    For when the results that stand on them are saved: a DataFrame read from a deleted table fails. A run that
+    begins with ``mark = tables_written()`` and ends with ``clear_tables(spark, mark)`` leaves nothing behind.
+    """
+    gone = _written[since:]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    del _written[since:]
+    return len(gone)
+
+
+def tables_written() -> int:
+    return len(_written)
+
+
 def materialize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` once below the checkpoint folder and read it back.
 
@@ -36,6 +59,7 @@ def materialize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/kinweave-{uuid.uuid4().hex}"
+    _written.append(path)
     (df.select(*columns) if columns else df).write.parquet(path)
     return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 

@@ -26,6 +26,17 @@ def test_assignment_equals_sequential_greedy(spark):
     assert {(r.main_id, r.compare_id) for r in one.collect()} == {(i, i) for i in range(150)}
 
 
+def test_tables_are_cleared(spark):
+    from kinweave import session
+
+    mark = session.tables_written()
+    kept = session.materialize(spark.range(3))
+    assert kept.count() == 3 and session.tables_written() == mark + 1
+    assert session.clear_tables(spark, mark) == 1 and session.tables_written() == mark
+    with pytest.raises(Exception):
+        spark.range(1).join(kept, "id").count()
+
+
 def test_blocking(spark):
     df = spark.createDataFrame([(1, "S530", "ann", 1850), (2, "S530", "bob", 1859), (3, "S530", "ann", 1861), (4, "S530", "", None), (5, None, "ann", 1850)], "id long, code string, given string, year int")
     keyed = df.withColumn("keys", linkage.block_keys(F.col("code"), F.col("given"), F.col("year")))
