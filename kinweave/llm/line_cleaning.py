@@ -103,35 +103,32 @@ def _title(rules: QualityRules) -> str:
 
 def _figures(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
     """``docs`` and, below names that start with ``__q``, its lines, their verdicts and the counts."""
-    spaces, symbols = _literal(SPACES), _literal(SYMBOLS)
-    phrases = " or ".join(f"contains(lower(l), {_literal(p)})" for p in rules.boilerplate) or "false"
+    symbols = f"[{SYMBOLS}]"
+    phrases = " or ".join(f"contains(low, {_literal(p)})" for p in rules.boilerplate) or "false"
     menu = "array(" + ", ".join(_literal(m) for m in rules.menu) + ")"
     title = _title(rules).replace("\\", "\\\\")
     lone = f"^[{''.join(chr(92) * 2 + c if c in '|/-' else c for c in SEPARATORS)}]+$"
+    # a separator behind white space or at the beginning; whether it stands alone is seen among the words
+    some = f"(^|{SPACE_CLASS[:-1].replace(chr(92), chr(92) * 2)}){lone[1:-1]}"
     ended = f"[{SENTENCE_MARKS}]{SPACE_CLASS[:-1].replace(chr(92), chr(92) * 2)}*$"
     text = f"coalesce(`{text_col}`, '')"
     df = docs.withColumn("__q_words", F.expr(_words(text))).withColumn("__q_lines", F.expr(f"split({text}, '\\n')"))
-    df = df.withColumn("__q_separated", F.expr(f"length({text}) > length(translate({text}, {_literal(SEPARATORS)}, ''))"))
     df = df.withColumn(
         "__q_judged",
         F.expr(
             f"""transform(__q_lines, l -> struct(
                 {_words("l")} as w,
-                length(translate(l, {spaces}, '')) as chars,
-                length(l) - length(translate(l, {symbols}, '')) as symbols,
+                length(l) - length(regexp_replace(l, '{symbols}', '')) as symbols,
                 (length(l) - length(replace(l, '!!', ''))) / 2 as exclaims,
-                ({phrases}) as phrase,
-                length(l) <= {rules.max_title_chars} and regexp_like(l, '{title}') and not regexp_like(l, '{ended}') as title,
-                __q_separated and length(l) > length(translate(l, {_literal(SEPARATORS)}, '')) as separated,
-                regexp_like(l, '[{SENTENCE_MARKS}]') as marked))"""
+                length(l) <= {rules.max_title_chars} and regexp_like(l, '{title}') and not regexp_like(l, '{ended}') as title))"""
         ),
     )
     df = df.withColumn(
         "__q_bad",
         F.expr(
             f"""transform(__q_judged, (j, i) -> size(j.w) > 0 and (
-                (size(j.w) >= {rules.min_flat_words} and not j.marked)
-                or (j.separated and 100 * size(filter(j.w, x -> regexp_like(x, '{lone}'))) > greatest(199, {rules.max_separator_percent} * size(j.w)))
+                (size(j.w) >= {rules.min_flat_words} and not regexp_like(get(__q_lines, i), '[{SENTENCE_MARKS}]'))
+                or (regexp_like(get(__q_lines, i), '{some}') and 100 * size(filter(j.w, x -> regexp_like(x, '{lone}'))) > greatest(199, {rules.max_separator_percent} * size(j.w)))
                 or (size(j.w) between 2 and {rules.max_menu_words} and 100 * size(filter(j.w, x -> array_contains({menu}, lower(x))))
                     >= greatest(200, {rules.min_menu_percent} * size(j.w)))
                 or (j.title and exists(sequence(0, {rules.min_title_lines - 1}), k -> i >= k
@@ -140,7 +137,7 @@ def _figures(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
                 or 100 * j.exclaims > {rules.max_exclaim_percent} * size(j.w)
                 or (size(j.w) >= {rules.min_run_words}
                     and 100 * size(array_distinct(j.w)) < {rules.min_distinct_percent} * size(j.w))
-                or (j.phrase and size(j.w) <= {rules.max_boilerplate_words})))"""
+                or (size(j.w) <= {rules.max_boilerplate_words} and exists(array(lower(get(__q_lines, i))), low -> {phrases}))))"""
         ),
     )
     # Windows as packed longs, the hash above the position, which the JVM sorts as primitives.
@@ -176,12 +173,12 @@ def _figures(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
     df = df.withColumns(
         {
             "__q_n": F.expr("cast(size(__q_words) as bigint)"),
-            "__q_chars": F.expr(f"cast(length(translate({text}, {spaces}, '')) as bigint)"),
-            "__q_symbols": F.expr(f"cast(length({text}) - length(translate({text}, {symbols}, '')) as bigint)"),
+            "__q_chars": F.expr("cast(length(array_join(__q_words, '')) as bigint)"),
+            "__q_symbols": F.expr("cast(aggregate(__q_judged, 0, (n, j) -> n + j.symbols) as bigint)"),
             "__q_dups": F.expr("cast(size(__q_full) - size(array_distinct(__q_full)) as bigint)"),
             "__q_lost": F.expr(
                 """cast(aggregate(arrays_zip(__q_judged, __q_bad), 0,
-                    (s, z) -> s + if(z.__q_bad, z.__q_judged.chars, 0)) as bigint)"""
+                    (s, z) -> s + if(z.__q_bad, length(array_join(z.__q_judged.w, '')), 0)) as bigint)"""
             ),
         }
     )
