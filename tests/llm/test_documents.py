@@ -220,6 +220,45 @@ def test_suffix_dedup(spark, docs, rows, empty, hot):
     assert suffix_dedup.repeat_digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup_lays_down_what_may_repeat(spark, monkeypatch, hot):
+    length, rng, texts = 200, random.Random(11), []
+    noise = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    # shared passages just below, at and above the length, some with one byte changed, at many offsets
+    shared = [noise(n) for n in (150, 190, 199, 200, 201, 230, 320, 500) for _ in range(4)]
+    for _ in range(150):
+        part = rng.choice(shared)
+        if rng.random() < 0.3:
+            at = rng.randrange(len(part))
+            part = part[:at] + b"X" + part[at + 1 :]
+        texts.append(noise(rng.randrange(120)) + part + noise(rng.randrange(120)))
+    texts += [texts[3], texts[3], b"a" * 450, b"ab" * 150]
+    # a passage of 60 bytes is in all of these: k-grams are shared, and no string is
+    sixty = noise(60)
+    alone = [noise(300) + sixty + noise(300) for _ in range(40)]
+    texts += alone
+    seen = Counter(b[p : p + length] for b in texts for p in range(len(b) - length + 1))
+    want = {}
+    for i, b in enumerate(texts):
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\x01" * length
+        want[i] = (sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    laid, marks = [], suffix_dedup._marks
+
+    def kept(pieces, *rest):
+        laid.extend(bytes(r.text) for r in pieces.select("text").collect())
+        return marks(pieces, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_marks", kept)
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.repeat_digest(docs, length=length, gram=16, hot=hot, shard_bytes=20_000).collect()}
+    assert got == want
+    assert laid
+    assert not any(sixty in x for x in laid)
+
+
 ITEMS = [("a", prose(25)), ("b", "one two"), ("c", None), ("d", ""), ("e", prose(12)), (None, prose(14)), ("f", "?!")]
 # items that share a passage, one that repeats itself, one of a single word
 ITEMS += [("g", ITEMS[0][1] + " " + prose(8)), ("h", "over and over " * 9), ("i", "omega"), ("a", ITEMS[4][1])]
