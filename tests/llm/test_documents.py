@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import platform
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -259,6 +264,42 @@ def test_suffix_dedup_lays_down_what_may_repeat(spark, monkeypatch, hot):
     assert not any(sixty in x for x in laid)
 
 
+KEPT = """
+import random, re
+import pyarrow as pa
+from kinweave.llm import suffix_dedup
+
+class Taken:
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon: *([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def shard(n):
+    text = [random.Random(k % 90).randbytes(30_000).hex().encode()[:30_000] for k in range(n)]
+    rows = [pa.array(x, kind) for x, kind in ((range(n), pa.int64()), (range(n), pa.int64()), ([0] * n, pa.int64()), ([False] * n, pa.bool_()), (text, pa.binary()))]
+    return iter([pa.RecordBatch.from_arrays(rows, names=["f", "c", "base", "again", "text"])])
+
+run = suffix_dedup._marks(Taken(), 400, suffix_dedup.QUEUE_BYTES)
+list(run(shard(2)))
+before = held()
+assert sum(b.num_rows for b in run(shard(100))) == 20
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup") or platform.libc_ver()[0] != "glibc", reason="reads Linux's memory figures")
+def test_suffix_dedup_workers_give_memory_back():
+    # three megabytes are sorted in a process of its own, then what it still holds is read
+    env = os.environ | {"PYTHONPATH": str(Path(suffix_dedup.__file__).parents[2]), "OMP_NUM_THREADS": "1"}
+    got = subprocess.run([sys.executable, "-c", KEPT], env=env, capture_output=True, text=True, timeout=300, check=True)
+    assert float(got.stdout) < 30
+
+
 ITEMS = [("a", prose(25)), ("b", "one two"), ("c", None), ("d", ""), ("e", prose(12)), (None, prose(14)), ("f", "?!")]
 # items that share a passage, one that repeats itself, one of a single word
 ITEMS += [("g", ITEMS[0][1] + " " + prose(8)), ("h", "over and over " * 9), ("i", "omega"), ("a", ITEMS[4][1])]
